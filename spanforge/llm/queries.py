@@ -6,25 +6,56 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import jaccard
+from spanforge.llm import chat, jaccard, quality
 from spanforge.llm.common import table
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests read back from all formatted conversations, and from one whose texts hold control strings."""
+    extra = spark.sql(r"SELECT bigint(-7) AS conv_id, bigint(t) AS turn, r AS role, '\\### Assistant: </turn> ok' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS v(t, r)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.format_chats(rows))
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, and number of links, of every document."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op2_jaccard": op2_jaccard,
+    "op9_quality": op9_quality,
 }
 
+#: Turns in order; lengths of the template's strings are counted here.
+OP1_SQL = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+e AS (
+  SELECT *, length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS n, length(replace(replace(role, '\', '\\'), '<|', '<\|')) AS rn,
+    row_number() OVER w AS k, lag(role) OVER w IS DISTINCT FROM role AS head
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) + sum(CASE WHEN head THEN rn + 24 ELSE 8 END) - 1 AS BIGINT) AS formatted_chars,
+  count(*) FILTER (head) AS n_blocks
+FROM e GROUP BY conv_id
+"""
+
 #: All pairs of texts that share a shingle, counted exactly; classes by recursion over the links.
 OP2_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 t AS (SELECT text, min(doc_id) AS rep, count(*) AS copies FROM d GROUP BY text),
-w AS (SELECT rep, copies, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\x0c\r]+'), x -> x <> '') AS ws FROM t),
-g AS (SELECT rep, unnest(CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+w AS (SELECT rep, copies, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') AS ws FROM t),
+g AS (SELECT rep, unnest(CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
 n AS (SELECT rep, count(*) AS n FROM g GROUP BY rep),
 p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS shared FROM g a JOIN g b ON a.s = b.s AND a.rep <> b.rep GROUP BY ALL),
 l AS (SELECT p.a, p.b FROM p JOIN n x ON x.rep = p.a JOIN n y ON y.rep = p.b WHERE shared >= 0.8 * (x.n + y.n - shared) - 1e-9),
@@ -36,5 +67,6 @@ FROM d JOIN t ON t.text = d.text JOIN k ON k.node = t.rep LEFT JOIN m ON m.a = t
 """
 
 ORACLES: dict[str, str] = {
+    "op1_chat": OP1_SQL,
     "op2_jaccard": OP2_SQL,
 }
