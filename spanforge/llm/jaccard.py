@@ -26,7 +26,8 @@ COORDS = 64  # embedded coordinates that paths sample
 SKETCH = 128  # coordinates compared in brute force, a byte each
 FANOUT = 2  # coordinates sampled at a node
 DEPTH = 3  # levels of splitting at most
-BLOCK = 256  # sets in a block of brute force
+MARK_BLOCK = 1024  # sets in a block of brute force over embeddings
+SET_BLOCK = 256  # sets in a block of brute force over exact sets
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
@@ -258,9 +259,9 @@ def _verify(threshold: float, n: int):
     return run
 
 
-def _block_pairs(df: DataFrame, key: str, size: Column) -> DataFrame:
-    """Rows of a key, once for each pair of blocks that holds theirs; blocks by hash, BLOCK rows each on average."""
-    blocks = F.ceil(size / F.lit(BLOCK)).cast("int")
+def _block_pairs(df: DataFrame, size: Column, block: int) -> DataFrame:
+    """Rows of a key, once for each pair of blocks that holds theirs; blocks by hash, `block` rows each on average."""
+    blocks = F.ceil(size / F.lit(block)).cast("int")
     return (
         df.withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
@@ -314,14 +315,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_rows = pairs.select("bucket", "node").join(marks, "node").repartition("bucket").sortWithinPartitions("bucket")
     found = small_rows.select("bucket", "node", "n", "sk").mapInPandas(_candidates(threshold, least, ["bucket"]), "a long, b long")
     if not hot.isEmpty():
-        blocks = _block_pairs(hot, "bucket", F.col("m")).select("bucket", "p", "q", "node").join(marks, "node")
+        blocks = _block_pairs(hot, F.col("m"), MARK_BLOCK).select("bucket", "p", "q", "node").join(marks, "node")
         blocks = blocks.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
         found = found.unionByName(blocks.select("bucket", "p", "q", "node", "n", "sk").mapInPandas(_candidates(threshold, least, ["bucket", "p", "q"]), "a long, b long"))
     comp = components(found.distinct())
 
     sizes = comp.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
     members = comp.join(sizes, "label").join(cls.select("node", "rep", "copies"), "node")
-    members = _block_pairs(members.withColumnRenamed("label", "comp"), "comp", F.col("m"))
+    members = _block_pairs(members.withColumnRenamed("label", "comp"), F.col("m"), SET_BLOCK)
     texts = rows.withColumnRenamed("node", "own").join(members.drop("m"), (F.col("own") == F.col("node")) & F.col("doc").cast("long").eqNullSafe(F.col("rep")))
     texts = texts.select("comp", "p", "q", "block", "node", "copies", "text").repartition("comp", "p", "q").sortWithinPartitions("comp", "p", "q")
     checked = written(texts.mapInPandas(_verify(threshold, ngram), "node long, links long, texts long, root long"), "checked")
