@@ -4,16 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import jaccard
+from spanforge.llm import jaccard, mixing, packing, pii, quality
 from spanforge.llm.common import table, written
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return quality.keep_good(docs)
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return jaccard.one_per_class(docs)
 
 
-STAGES = [("jaccard", deduplicate)]
+def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with their personal data masked."""
+    return pii.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens meet the target weights of sources, languages and topics."""
+    return mixing.sample(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of the documents' pieces in training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", clean), ("jaccard", deduplicate), ("pii", mask), ("mixing", mix), ("packing", pack)]
+#: SQL has neither the tokenizer nor the fitted span classifier; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import chat, jaccard, quality
-from spanforge.llm.common import table
+from spanforge.llm import chat, html, iblt, jaccard, langid, mixing, packing, pii, quality, warc
+from spanforge.llm.common import fresh_path, table
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,15 +22,59 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, written to archives and read back."""
+    path = fresh_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path).selectExpr("page_id", "payload_bytes", "payload_digest", "type AS record_type", "refers_to")
+
+
+def op4_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, probability and decision for every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_jaccard": op2_jaccard,
+    "op3_warc": op3_warc,
+    "op4_iblt": op4_iblt,
+    "op5_mixing": op5_mixing,
+    "op6_packing": op6_packing,
+    "op7_html": op7_html,
+    "op8_pii": op8_pii,
     "op9_quality": op9_quality,
+    "op10_langid": op10_langid,
 }
 
 #: Turns in order; lengths of the template's strings are counted here.
@@ -66,7 +110,17 @@ SELECT d.doc_id, t.rep AS text_id, k.class_id, CAST(coalesce(m.links, 0) + t.cop
 FROM d JOIN t ON t.text = d.text JOIN k ON k.node = t.rep LEFT JOIN m ON m.a = t.rep
 """
 
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+  CASE WHEN m.last IS NULL OR m.last = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN m.last <> p.page_id THEN m.last END AS refers_to
+FROM p LEFT JOIN m ON m.payload_digest = p.payload_digest AND p.payload_bytes >= 1000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_chat": OP1_SQL,
     "op2_jaccard": OP2_SQL,
+    "op3_warc": OP3_SQL,
 }
