@@ -1,9 +1,10 @@
 """Document fingerprints: invertible Bloom lookup tables of paragraph digests, in Spark expressions only.
 
-A text's paragraphs (lines, cut at sentence ends) have 64-bit digests. A digest goes to one cell of each of three
-subtables; a cell keeps how many there are, their exclusive or, and that of their check hashes. Tables of two versions
-subtract cell by cell, and digests in both cancel. A cell that then holds a single digest gives it away; removing it
-from its other cells frees more. If cells remain, the difference was too large for the table, and a larger one is tried.
+A text's paragraphs (lines, cut at sentence ends) have 64-bit digests, whose last CHECK_BITS are a hash of the others.
+A digest goes to one cell of each of three subtables; a cell keeps how many there are and their exclusive or. Tables of
+two versions subtract cell by cell, and digests in both cancel. A cell that then holds a single digest, which its check
+bits tell, gives it away; removing it from its other cells frees more. If cells remain, the difference was too large
+for the table, and a larger one is tried.
 
 Tables are kept sparse: arrays of cells in order. They are folded from codes (cell << 32 | place of the digest), which
 sort as plain numbers.
@@ -17,22 +18,25 @@ from pyspark.sql import functions as F
 from spanforge.llm.common import let
 
 SUB = 16  # cells of a subtable of the fingerprint
+CHECK_BITS = 20
 ROUNDS = 40  # peeling rounds at most
 BLOCK_ROWS = 4000  # documents of a block of neighbours, about
 MAX_BLOCKS = 20_000
 
 _LOW = 0xFFFFFFFF
-_CELLS = "array<struct<cell:bigint,n:int,key:bigint,chk:bigint>>"
+_CELLS = "array<struct<cell:bigint,n:int,key:bigint>>"
 
 
 def digests(text: Column) -> Column:
     """Distinct digests of the paragraphs that have a character beyond white space."""
     parts = F.filter(F.split(text, r"\n|(?<=[.!?])\x20", -1), lambda p: p.rlike(r"[^\x09-\x0D\x20]"))
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
+    return F.array_distinct(F.transform(parts, lambda p: _checked(F.xxhash64(p))))
 
 
-def _check(key: Column) -> Column:
-    return F.xxhash64(key, F.lit("check"))
+def _checked(key: Column) -> Column:
+    """key with its check bits."""
+    high = F.shiftright(key, CHECK_BITS)
+    return F.shiftleft(high, CHECK_BITS).bitwiseOR(F.xxhash64(high).bitwiseAND(F.lit((1 << CHECK_BITS) - 1)))
 
 
 def _codes(key: Column, at: Column, sub: Column) -> Column:
@@ -40,64 +44,65 @@ def _codes(key: Column, at: Column, sub: Column) -> Column:
     return F.array(*[F.shiftleft(F.pmod(F.xxhash64(key, sub, F.lit(j)), sub) + sub * j, 32).bitwiseOR(at.cast("bigint")) for j in range(3)])
 
 
-def _fold(codes: Column, ns: Column, keys: Column, checks: Column) -> Column:
-    """Cells that are not empty, from sorted codes of places in ns, keys and checks."""
+def _fold(codes: Column, ns: Column, keys: Column) -> Column:
+    """Cells that are not empty, from sorted codes of places in ns and keys."""
     cell = lambda c: F.shiftright(c, 32)
     place = lambda c: c.bitwiseAND(F.lit(_LOW)).cast("int")
     heads = F.filter(F.sequence(F.lit(0), F.size(codes) - 1), lambda i: (i == 0) | (cell(F.get(codes, i)) != cell(F.get(codes, i - 1))))
 
-    def one(seg: Column) -> Column:
-        return F.struct(
-            cell(F.get(seg, F.lit(0))).alias("cell"),
+    def one(s: Column, end: Column) -> Column:
+        first = F.get(codes, s)
+        many = lambda seg: F.struct(
+            cell(first).alias("cell"),
             F.aggregate(seg, F.lit(0), lambda a, c: a + F.get(ns, place(c))).alias("n"),
             F.aggregate(seg, F.lit(0).cast("bigint"), lambda a, c: a.bitwiseXOR(F.get(keys, place(c)))).alias("key"),
-            F.aggregate(seg, F.lit(0).cast("bigint"), lambda a, c: a.bitwiseXOR(F.get(checks, place(c)))).alias("chk"),
         )
+        alone = F.struct(cell(first).alias("cell"), F.get(ns, place(first)).alias("n"), F.get(keys, place(first)).alias("key"))
+        return F.when(end - s == 1, alone).otherwise(let(F.slice(codes, s + 1, end - s), many))
 
-    cells = let(heads, lambda h: F.transform(h, lambda s, k: let(F.slice(codes, s + 1, F.coalesce(F.get(h, k + 1), F.size(codes)) - s), one)))
-    full = F.filter(cells, lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0))
+    cells = let(heads, lambda h: F.transform(h, lambda s, k: one(s, F.coalesce(F.get(h, k + 1), F.size(codes)))))
+    full = F.filter(cells, lambda c: (c["n"] != 0) | (c["key"] != 0))
     return F.when(F.size(codes) == 0, F.array().cast(_CELLS)).otherwise(full)
 
 
 def _table(keys: Column, ns: Column, sub: Column) -> Column:
     """The table of digests, each counted as ns says."""
     codes = F.sort_array(F.flatten(F.transform(keys, lambda k, i: _codes(k, i, sub))))
-    return let(codes, lambda c: let(F.transform(keys, _check), lambda h: _fold(c, ns, keys, h)))
+    return let(codes, lambda c: _fold(c, ns, keys))
 
 
 def fingerprint(keys: Column) -> Column:
-    """The table of 3 * SUB cells as text: cell:count:digests:checks, in hexadecimal, of each cell that is not empty."""
+    """The table of 3 * SUB cells as text: cell:count:digests, in hexadecimal, of each cell that is not empty."""
     cells = let(F.array_repeat(F.lit(1), F.size(keys)), lambda ns: _table(keys, ns, F.lit(SUB).cast("bigint")))
-    return F.array_join(F.transform(cells, lambda c: F.concat_ws(":", c["cell"].cast("string"), c["n"].cast("string"), F.lower(F.hex(c["key"])), F.lower(F.hex(c["chk"])))), " ")
+    return F.array_join(F.transform(cells, lambda c: F.concat_ws(":", c["cell"].cast("string"), c["n"].cast("string"), F.lower(F.hex(c["key"])))), " ")
 
 
 def _peel(cells: Column, sub: Column) -> Column:
     """How many digests a table of a difference gives back; null if cells remain."""
 
     def step(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(state["cells"], lambda c: ((c["n"] == 1) | (c["n"] == -1)) & (c["chk"] == _check(c["key"]))), lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n"))))
+        pure = F.array_distinct(F.transform(F.filter(state["cells"], lambda c: ((c["n"] == 1) | (c["n"] == -1)) & (c["key"] == _checked(c["key"]))), lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n"))))
         stuck = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("stuck"))
 
         def remove(p: Column) -> Column:
             have = F.size(state["cells"])
             keys = F.concat(F.transform(state["cells"], lambda c: c["key"]), F.transform(p, lambda x: x["key"]))
             ns = F.concat(F.transform(state["cells"], lambda c: c["n"]), F.transform(p, lambda x: -x["n"]))
-            checks = F.concat(F.transform(state["cells"], lambda c: c["chk"]), F.transform(p, lambda x: _check(x["key"])))
             codes = F.concat(F.transform(state["cells"], lambda c, i: F.shiftleft(c["cell"], 32).bitwiseOR(i.cast("bigint"))), F.flatten(F.transform(p, lambda x, i: _codes(x["key"], i + have, sub))))
-            folded = let(F.sort_array(codes), lambda c: let(keys, lambda k: let(ns, lambda n: let(checks, lambda h: _fold(c, n, k, h)))))
-            return F.struct(folded.alias("cells"), (state["found"] + F.size(p)).alias("found"), F.lit(False).alias("stuck"))
+            folded = let(F.sort_array(codes), lambda c: let(keys, lambda k: let(ns, lambda n: _fold(c, n, k))))
+            return let(folded, lambda f: F.struct(f.alias("cells"), (state["found"] + F.size(p)).alias("found"), (F.size(f) == 0).alias("stuck")))
 
         return F.when(state["stuck"], state).otherwise(let(pure, lambda p: F.when(F.size(p) == 0, stuck).otherwise(remove(p))))
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(False).alias("stuck"))
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), (F.size(cells) == 0).alias("stuck"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.size(s["cells"]) == 0, s["found"]))
 
 
 def difference(a: Column, b: Column) -> Column:
     """How many digests two arrays do not share: from their subtracted tables, retried larger until peeling succeeds.
 
-    The first try is at the fingerprint's size. The next sizes follow the number of digests; they peel but for rare
-    chance, and after three of them the digests are compared as they are.
+    The first try is at the fingerprint's size, unless there are more digests than half its cells. The next sizes follow the
+    number of digests; they peel but for rare chance, and after three of them the digests are compared as they are.
     """
     total = (F.size(a) + F.size(b)).cast("bigint")
 
@@ -106,8 +111,8 @@ def difference(a: Column, b: Column) -> Column:
         return let(F.concat(a, b), lambda keys: let(ns, lambda n: let(sub, lambda s: let(_table(keys, n, s), lambda cells: _peel(cells, s)))))
 
     plain = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    small = F.when(F.abs(F.size(a) - F.size(b)) <= 2 * SUB, attempt(F.lit(SUB).cast("bigint")))
-    return F.coalesce(small, *[attempt(total * f + 8 * f) for f in (1, 2, 4)], plain)
+    small = F.when(2 * total <= 3 * SUB, attempt(F.lit(SUB).cast("bigint")))
+    return F.coalesce(small, *[attempt(total * f + 8 * f) for f in (2, 4, 8)], plain)
 
 
 def likeness(a: Column, b: Column) -> Column:
