@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.llm.common import small_batches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -189,6 +191,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     where there is nothing to learn from. All windows of a text count, however long it is. Repeated rows each have
     their row; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
     data = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held.alias("held_out"))
     texts, labels, langs = sample(data.where("not held_out"), "text", "lang", "doc_id", rows)
