@@ -7,6 +7,7 @@ boundaries reaches; what only looks like a record is never reached.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -42,7 +43,7 @@ def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write a record for every row of pages to WARC files under path.
+    """Write a record for every row of pages to gzipped WARC files under path.
 
     The payload is the html in UTF-8 (null: empty). Of records with equal payloads of MIN_REVISIT bytes or more the one
     with the largest id is a response and the others, also those without an id, are revisits without a payload; rows
@@ -66,7 +67,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     )
     body = F.when(again, F.lit("")).otherwise(F.coalesce(F.col("html"), F.lit("")))
     # the writer's line separator is the blank lines that end a record
-    marked.select(F.concat(head, body).alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    marked.select(F.concat(head, body).alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
@@ -79,6 +80,7 @@ def _candidates(with_payload: bool):
         for batch in batches:
             for file, data in zip(batch["file"], batch["content"], strict=True):
                 rows = []
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 for mark in _MAGIC.finditer(data):
                     at, fields = mark.end(), {}
                     while field := _FIELD.match(data, at):
@@ -126,7 +128,8 @@ def reachable(records: DataFrame) -> DataFrame:
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """A row for each record of the archives under path, in RECORD's columns (and payload, if asked for).
 
-    Only records that the chain of boundaries reaches from their file's start count. payload_bytes and payload_digest
+    Files may be plain or gzipped; offsets are of the plain bytes. Only records that the chain of boundaries reaches from
+    their file's start count. payload_bytes and payload_digest
     are of the payload that is stored, or for a revisit of the full one as its record states them. A file is read
     whole by one task. A record that breaks the chain (cut off, or no valid length) ends what is read of its file.
     """
