@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -308,20 +309,21 @@ def masked(text: str | None, spans: list[Span]) -> str | None:
 
 
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """docs with personal data masked in text, and chars_col brought up to date; columns and their order as they are."""
+    """docs with personal data masked in text, and chars_col, if there is one, brought up to date.
+
+    Other columns, of any type, pass through Arrow as they are. Null texts stay null, with their count.
+    """
     weights = fit(docs, text_col)
-    names = docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [masked(t, find(t, weights)[1]) if t else t for t in batch["__text"]]
-            yield pd.DataFrame({"__row": batch["__row"], "__text": new})
-
-    # all other columns travel in a struct that Python passes through unread
-    packed = docs.select(F.to_json(F.struct(*[c for c in names if c != text_col]), {"ignoreNullFields": "false"}).alias("__row"), F.col(text_col).alias("__text"))
-    made = packed.mapInPandas(run, "__row string, __text string")
-    rest = [f for f in docs.schema.fields if f.name != text_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    back = made.select(F.from_json("__row", schema).alias("__r"), "__text")
-    cols = [F.col("__text").alias(c) if c == text_col else (F.when(F.col("__r")[c].isNotNull(), F.length("__text").cast(dict(docs.dtypes)[c])).alias(c) if c == chars_col else F.col("__r")[c].alias(c)) for c in names]
-    return back.select(*cols)
+            cols, at = list(batch.columns), batch.schema.get_field_index(text_col)
+            old = cols[at].to_pylist()
+            new = [masked(t, find(t, weights)[1]) if t else t for t in old]
+            cols[at] = pa.array(new, batch.schema.field(at).type)
+            if (k := batch.schema.get_field_index(chars_col)) >= 0:
+                counts = [c if t is None else len(t) for t, c in zip(new, cols[k].to_pylist(), strict=True)]
+                cols[k] = pa.array(counts, batch.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
