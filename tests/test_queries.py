@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -24,7 +25,7 @@ def duck(sf_dir):
 
 def rows(df) -> list:
     def value(x):
-        if x is None or isinstance(x, float) and math.isnan(x):
+        if x is None or x is pd.NA or isinstance(x, float) and math.isnan(x):
             return None
         if hasattr(x, "item"):
             x = x.item()
