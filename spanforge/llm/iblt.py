@@ -132,12 +132,12 @@ def _block(key: Column, bounds: list[int]) -> Column:
     return let(coarse, lambda c: F.when(c == 0, F.lit(0)).otherwise((c - 1) * width + count(F.slice(as_array(bounds), (c - 1) * width + 1, width))))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with next_text: of the next document by descending doc_id, after the last that of the first.
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) in blocks, so that the next document by descending doc_id (after the last: the first) is in a row's block.
 
     Blocks of ids, from approximate quantiles, hold neighbours together; the first document of each block also goes to
-    the block before it, so no order of all rows is ever made in one place. Null ids come last; equal ids are ordered
-    by a hash of their text.
+    the block before it, marked as its border, so no order of all rows is ever made in one place. Null ids come last;
+    equal ids are ordered by h, a hash of their text.
     """
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     n = rows.count()
@@ -165,7 +165,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     single document is its own next, other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = with_next(rows).select("doc_id", "text", "h", "block", "border", digests(F.col("text")).alias("keys"))
+    blocks = in_blocks(rows).select("doc_id", "text", "h", "block", "border", digests(F.col("text")).alias("keys"))
     after = Window.partitionBy("block").orderBy("border", F.col("doc_id").desc_nulls_last(), "h")
     pairs = blocks.select("*", F.lead("text").over(after).alias("next_text"), F.lead("keys").over(after).alias("next_keys")).where("not border")
     cut = F.floor(F.length("text") / 2).cast("int")

@@ -56,7 +56,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,8 +119,46 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest,
 FROM p LEFT JOIN m ON m.payload_digest = p.payload_digest AND p.payload_bytes >= 1000
 """
 
+_WORD_COUNTS = ", ".join(f"len(list_filter(ws, lambda x: x = '{w}'))" for w in quality.COMMON_WORDS)
+_BLANK = r"[ \t\n\x0b\x0c\r]"
+
+
+def _distance(counts: str, reference: str) -> str:
+    """Jensen-Shannon distance of two lists in SQL."""
+    p, q = f"({counts}[i] / list_sum({counts}))", f"({reference}[i] / list_sum({reference}))"
+    half = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * ln(2 * {a} / ({a} + {b})) ELSE 0 END"
+    return f"CASE WHEN list_sum({counts}) > 0 THEN sqrt(greatest(list_sum(list_transform(range(1, len({counts}) + 1), lambda i: {half(p, q)} + {half(q, p)})) / (2 * ln(2)), 0)) END"
+
+
+#: Counts by lists and joins; references and distances from the counts.
+OP9_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '{_BLANK}+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	
+]')) AS ls FROM d),
+g AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w),
+v AS (SELECT r, count(DISTINCT i + k) AS n FROM g SEMI JOIN (SELECT r, g FROM g GROUP BY r, g HAVING count(*) > 1) USING (r, g), (VALUES (0), (1), (2)) x(k) GROUP BY r),
+k AS (SELECT w.r, doc_id, lang, length(t) AS n, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words,
+    [length(regexp_replace(t, '[^\p{{Ll}}0-9]+', '', 'g')), length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')), length(regexp_replace(t, '[^ 	
+]+', '', 'g')),
+     length(regexp_replace(t, '[^.,]+', '', 'g')), length(regexp_replace(t, '[^;:!?''"()-]+', '', 'g')),
+     length(regexp_replace(t, '[\p{{Ll}}0-9\p{{Lu}} 	
+.,;:!?''"()-]+', '', 'g'))] AS cs,
+    [{_WORD_COUNTS}] AS fs FROM w LEFT JOIN v USING (r)),
+c AS (SELECT *, list_append(fs, n_words - list_sum(fs)) AS wc FROM k),
+s AS (SELECT lang, i, sum(cs[i]) AS x FROM c, range(1, 7) t(i) WHERE cs[6] * 100 <= list_sum(cs) AND cs[2] * 5 <= list_sum(cs) GROUP BY lang, i),
+u AS (SELECT lang, i, sum(wc[i]) AS x FROM c, range(1, {len(quality.COMMON_WORDS) + 2}) t(i) WHERE cs[6] * 100 <= list_sum(cs) AND cs[2] * 5 <= list_sum(cs) GROUP BY lang, i),
+f AS (SELECT a.lang, rc, rw FROM (SELECT lang, list(x ORDER BY i) AS rc FROM s GROUP BY lang) a JOIN (SELECT lang, list(x ORDER BY i) AS rw FROM u GROUP BY lang) b ON a.lang IS NOT DISTINCT FROM b.lang WHERE list_sum(rc) > 0 AND list_sum(rw) > 0),
+n AS (SELECT r, min({_distance("cs", "rc")}) AS dc, min({_distance("wc", "rw")}) AS dw FROM c, f GROUP BY r),
+o AS (SELECT c.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_SHARE} * n_words AS base_failed, dc, dw FROM c LEFT JOIN n USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_words >= {quality.GUARD_WORDS} AND n >= {quality.GUARD_CHARS} AND (coalesce(dc, 0) > {quality.CLASS_DISTANCE} OR coalesce(dw, 0) > {quality.WORD_DISTANCE})) AS kept
+FROM o
+"""
+
 ORACLES: dict[str, str] = {
     "op1_chat": OP1_SQL,
     "op2_jaccard": OP2_SQL,
     "op3_warc": OP3_SQL,
+    "op9_quality": OP9_SQL,
 }
