@@ -51,9 +51,9 @@ def match_length(matches: DataFrame) -> DataFrame:
 
 def corpus_averages(coverage: DataFrame, hits: DataFrame) -> DataFrame:
     """Unweighted mean coverage over threads, and all hits over all spans."""
-    a = coverage.agg(F.avg("ratio").alias("coverage"))
-    b = hits.agg((F.sum("hits") / F.nullif(F.sum(F.col("hits") + F.col("misses")), F.lit(0))).alias("correct"))
-    return a.join(b, F.lit(True))
+    none = F.lit(None).cast("bigint")
+    rows = coverage.select("ratio", none.alias("hits"), none.alias("misses")).unionByName(hits.select(F.lit(None).cast("double").alias("ratio"), "hits", "misses"))
+    return rows.agg(F.avg("ratio").alias("coverage"), (F.sum("hits") / F.nullif(F.sum(F.col("hits") + F.col("misses")), F.lit(0))).alias("correct"))
 
 
 def coverage_steps(outermost: DataFrame) -> DataFrame:
