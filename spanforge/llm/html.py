@@ -46,30 +46,31 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "kids", "up", "bad", "score", "chars", "linked")
+    __slots__ = ("tag", "kids", "up", "bad", "named", "score", "chars", "linked")
 
-    def __init__(self, tag: str, up: _Node | None, bad: bool = False) -> None:
-        self.tag, self.up, self.bad = tag, up, bad
+    def __init__(self, tag: str, up: _Node | None, bad: bool = False, named: bool = False) -> None:
+        self.tag, self.up, self.bad, self.named = tag, up, bad, named
         self.kids: list[_Node | str] = []
         self.score, self.chars, self.linked = 0.0, 0, 0
 
 
-def _is_bad(tag: str, attrs: str) -> bool:
+def _is_bad(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is boilerplate, and whether only its class or id says so."""
     if tag in _DROP:
-        return True
+        return True, False
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    named = False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            if _BAD.search(value):
-                return True
+            named = named or _BAD.search(value) is not None
         elif name == "role":
             if value.lower() in _BAD_ROLE:
-                return True
+                return True, False
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, False
+    return named, named
 
 
 def _tree(page: str) -> _Node:
@@ -111,7 +112,7 @@ def _tree(page: str) -> _Node:
             if up.tag in _SCOPE and not (up.tag in ("td", "th") and tag in ("td", "th", "tr")):
                 break
             up = up.up
-        child = _Node(tag, node, _is_bad(tag, m[3]))
+        child = _Node(tag, node, *_is_bad(tag, m[3]))
         node.kids.append(child)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -145,6 +146,29 @@ def _measure(node: _Node, inside_link: bool) -> None:
             x.up.linked += x.linked
 
 
+def _pardon(root: _Node) -> None:
+    """An element with most of a page's text, in two paragraphs or more, is no boilerplate, whatever its class says.
+
+    Where a page has article or main elements, only those around one are pardoned.
+    """
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack.extend(k for k in x.kids if not isinstance(k, str) and (k.named or not k.bad))
+    if not any(x.named for x in order):
+        return
+    size, paras, holds = {}, {}, {}
+    for x in reversed(order):
+        inner = [k for k in x.kids if not isinstance(k, str) and id(k) in size]
+        size[id(x)] = sum(len(k.strip()) for k in x.kids if isinstance(k, str)) + sum(size[id(k)] for k in inner)
+        paras[id(x)] = (x.tag == "p") + sum(paras[id(k)] for k in inner)
+        holds[id(x)] = x.tag in ("article", "main") or any(holds[id(k)] for k in inner)
+    for x in order:
+        if x.named and 2 * size[id(x)] > size[id(root)] and paras[id(x)] > 1 and (holds[id(x)] or not holds[id(root)]):
+            x.bad = False
+
+
 def _own_text(node: _Node) -> str:
     """Text of a block without the blocks inside it."""
     out, stack = [], list(reversed(node.kids))
@@ -219,6 +243,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = _tree(page)
+    _pardon(root)
     for x in _walk(root):
         if x.tag == "header":  # of an article, only its headings stay
             in_article, up = False, x.up

@@ -293,3 +293,10 @@ def test_chain_rejects_marks_in_payloads(spark):
     rows = [(1, 0, 100), (1, 40, 60), (1, 60, 90), (1, 100, 250), (1, 130, 250), (1, 250, 300), (2, 5, 10)]
     got = warc.reachable(spark.createDataFrame(rows, "file long, offset long, next long"))
     assert {tuple(r) for r in got.collect()} == {(1, 0), (1, 100), (1, 250)}
+
+
+def test_layout_names_do_not_hide_the_article():
+    story = "<p>This is a long paragraph, with commas, and with text enough.</p><p>And another one, with more text.</p>"
+    text = "This is a long paragraph, with commas, and with text enough.\nAnd another one, with more text."
+    assert html.main_text(f'<div class="content has-sidebar">{story}</div><div class="sidebar"><p>Links.</p></div>') == text
+    assert html.main_text('<div class="ad">An advert that is longer than the rest, by far.</div><article><p>Short.</p></article>') == "Short."
