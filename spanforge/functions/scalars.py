@@ -59,3 +59,13 @@ def permission_tail(line: Column) -> Column:
 def full_permission(name: Column) -> Column:
     """A permission with its prefix, if it has no dot of its own."""
     return F.when(F.contains(name, F.lit(".")), name).otherwise(F.concat(F.lit("android.permission."), name))
+
+
+def api_identifier(package: Column, cls: Column, method: Column, args: Column) -> Column:
+    """pkg.Class.method(T1, T2); a constructor's method is the class."""
+    return F.concat(F.concat_ws(".", package, cls, method), F.lit("("), F.array_join(args, ", "), F.lit(")"))
+
+
+def listed_api(line: Column) -> Column:
+    """method(args) of a line of an API list; "" for a line without one."""
+    return F.regexp_extract(line, r"([\w.$]+\([^)]*\))", 1)

@@ -66,11 +66,11 @@ def in_time_order(events: DataFrame) -> DataFrame:
 
 
 def as_trace(events: DataFrame, trace_id: str = "t") -> DataFrame:
-    """Parsed events as a trace (trace_id, tid, pos, kind, state, name, raw), positions from 0 in each thread."""
+    """Parsed events as a trace (trace_id, tid, pos, kind, state, name, raw, ts), positions from 0 in each thread."""
     order = Window.partitionBy("tid").orderBy("ts", "kind", F.col("state").asc_nulls_first(), "name")
     pos = (F.row_number().over(order) - 1).cast("long")
     short = F.when(F.col("kind") == "SYS", F.substring_index("name", "(", 1)).otherwise(F.col("name"))
-    return events.select(F.lit(trace_id).alias("trace_id"), "tid", pos.alias("pos"), "kind", "state", short.alias("name"), F.col("name").alias("raw"))
+    return events.select(F.lit(trace_id).alias("trace_id"), "tid", pos.alias("pos"), "kind", "state", short.alias("name"), F.col("name").alias("raw"), "ts")
 
 
 _UNFINISHED = re.compile(r"(.*) [<]?unfinished \.\.\.>.*$")
