@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import written
+from spanforge.llm.common import small_batches, written
 from spanforge.llm.graph import components
 
 COORDS = 64  # embedded coordinates that paths sample
@@ -289,6 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     to them. Repeated rows count as copies; a null id stays in its class but never names it. Other columns are ignored.
     recall is the probability with which the paths meet for a pair at the threshold (more for closer pairs).
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("doc", F.xxhash64("text", F.lit("text")).alias("node"), "text")
     marked = rows.select(F.col("doc").cast("long").alias("doc"), "node", "text").mapInArrow(_embed(ngram), "doc long, node long, n int, emb array<int>, sk binary")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import written
+from spanforge.llm.common import small_batches, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -180,12 +180,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cap
     """
     import public_tokenizers
 
+    spark = docs.sparkSession
+    small_batches(spark)
     with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = f.read()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
     pieces = written(rows.mapInPandas(_pieces(ranks, pattern or public_tokenizers.PATTERN, capacity), schema), "pieces")
-    spark = docs.sparkSession
     local = written(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in local.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     runs, _ = plan(counts, capacity)

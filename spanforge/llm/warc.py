@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import written
+from spanforge.llm.common import small_batches, written
 
 CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -133,6 +133,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
     are of the payload that is stored, or for a revisit of the full one as its record states them. A file is read
     whole by one task. A record that breaks the chain (cut off, or no valid length) ends what is read of its file.
     """
+    small_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     chunks = files.where("length > 0").select(F.xxhash64("path").alias("file"), "content")
     found = written(chunks.mapInPandas(_candidates(with_payload), RECORD + (", payload binary" if with_payload else "")), "records")
