@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from spanforge.operators.clean import EMPTY_CALLS
+from spanforge.plans.lineage import cut
 
 Call = tuple[str, str]
 
@@ -149,8 +150,11 @@ def _outside(rows: DataFrame) -> DataFrame:
 
 
 def exclusive_nested(trace: DataFrame) -> DataFrame:
-    """(tid, api, seq, calls) of well-nested threads, each event to the innermost call; seq orders a thread's realizations."""
-    rows = _levels(trace)
+    """(tid, api, seq, calls) of well-nested threads, each event to the innermost call; seq orders a thread's realizations.
+
+    Depths are written once (lineage.cut), as frames, their calls and what lies outside are all read from them.
+    """
+    rows = cut(_levels(trace).select("tid", "pos", "kind", "state", "name", "raw", "depth"))
     frames = _frames(rows)
     opens = frames.select("tid", "level", "pos", F.lit(0).alias("what"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("raw"))
     made = rows.where("kind = 'SYS' OR state = 'S'").select("tid", F.when(F.col("kind") == "SYS", F.col("depth")).otherwise(F.col("depth") - 1).alias("level"), "pos", F.lit(1).alias("what"), "kind", "raw").where("level > 0")
