@@ -6,6 +6,8 @@ the targets; a document is then sampled with its cell's calibrated probability,
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ from spanforge.llm.common import words_of
 DIMS = ("source", "lang", "topic")
 MAX_CELLS = 1_000_000  # bound of the contingency table that comes to the driver
 TEMPER = 0.7  # default targets: a category's share to this power, so that large ones shrink
-BUDGET = 0.8  # share of the largest feasible sample's tokens, by default
+BUDGET = 0.8  # share of all tokens that a sample aims at, by default; the largest that meets the targets bounds it
+MET = 1e-6  # marginals this near their targets meet them
 
 _SCALE = 1 << 52
 
@@ -57,22 +60,78 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 200, tol:
     return shares
 
 
+def _bounded(tokens: np.ndarray, at: list[np.ndarray], goals: list[np.ndarray], rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Tokens to take of each cell, at most all of them, raked to the goals' marginals; and how far off they are.
+
+    tokens: of the cells that have some; at: for each axis the cells' categories. A category's factor solves
+    sum(min(tokens, factor * rest)) = goal by Newton's steps, which rise to it: the sum is concave and piecewise linear.
+    """
+    factors = [np.ones(len(g)) for g in goals]
+    taken, off = tokens, np.inf
+    for _ in range(rounds):
+        for axis, goal in enumerate(goals):
+            rest = tokens.copy()
+            for other, f in enumerate(factors):
+                if other != axis:
+                    rest *= f[at[other]]
+            add = lambda x: np.bincount(at[axis], x, len(goal))  # noqa: B023, E731
+            f = np.divide(goal, all_rest := add(rest), out=np.zeros(len(goal)), where=all_rest > 0)
+            for _ in range(50):
+                full = f[at[axis]] * rest >= tokens
+                free = add(np.where(full, 0.0, rest))
+                step = np.divide(goal - add(np.where(full, tokens, 0.0)), free, out=f.copy(), where=free > 0)
+                if (step <= f * (1 + 1e-13)).all():
+                    break
+                f = np.maximum(f, step)
+            factors[axis] = f
+        share = np.ones(len(tokens))
+        for axis, f in enumerate(factors):
+            share *= f[at[axis]]
+        taken = np.minimum(1.0, share) * tokens
+        off = max(np.abs(np.bincount(i, taken, len(g)) - g).max() / g.sum() for i, g in zip(at, goals, strict=True))
+        if off < MET:
+            break
+    return taken, off
+
+
 def probabilities(tokens: np.ndarray, targets: list[np.ndarray], budget: float = BUDGET) -> tuple[np.ndarray, np.ndarray]:
     """(weight, probability) of each cell: raked share over own share, and the chance that brings the sample there.
 
-    The largest sample with exact marginals takes the scarcest cell whole; budget is the share of all tokens that a
-    sample aims at where that allows more. Cells that would need over 1 are taken whole, and the rest of the sample is
-    scaled to keep the budget.
+    The sample aims at budget as a share of all tokens. Where no cell needs more than all its tokens for that, chances
+    are in proportion to weights; otherwise cells are raked again with their tokens as upper bounds. A budget at which
+    the targets cannot be met is lowered to the largest at which they are, with a warning. Targets that no sample
+    meets, as cells without tokens stand against them, are warned of too, and chances are in proportion to weights.
     """
     shares = rake(tokens, targets)
     own = tokens / tokens.sum()
     weight = np.divide(shares, own, out=np.zeros_like(shares), where=own > 0)
-    goal = budget * tokens.sum()
-    low, high = 0.0, 1e12
-    for _ in range(200):  # the scale at which expected tokens meet the goal
-        mid = (low + high) / 2
-        low, high = (mid, high) if (np.minimum(1.0, weight * mid) * tokens).sum() < goal else (low, mid)
-    return weight, np.minimum(1.0, weight * high)
+    sure = 1 / weight.max()
+    if budget <= sure:
+        return weight, np.minimum(1.0, weight * budget)
+    cells = np.nonzero(tokens)
+    at, have = list(cells), [tokens.sum(tuple(j for j in range(tokens.ndim) if j != i)) for i in range(tokens.ndim)]
+    goals = [np.where(h > 0, g, 0.0) for g, h in zip(targets, have, strict=True)]
+    goals = [g / g.sum() for g in goals]
+    if max(np.abs(shares.sum(tuple(j for j in range(shares.ndim) if j != i)) - g).max() for i, g in enumerate(goals)) > MET:
+        warnings.warn("no sample meets the targets of all dimensions; the nearest raking is scaled to its scarcest cell", stacklevel=2)
+        return weight, np.minimum(1.0, weight * sure)
+    most = min([budget, *((h[g > 0] / g[g > 0]).min() / tokens.sum() for g, h in zip(goals, have, strict=True))])
+    chance, low, high = np.minimum(1.0, weight * sure), sure, most
+    for k in range(16):
+        size = high if k == 0 else (low + high) / 2
+        taken, off = _bounded(tokens[cells], at, [g * size * tokens.sum() for g in goals])
+        if off < MET:
+            chance = np.zeros_like(tokens)
+            chance[cells] = taken / tokens[cells]
+            low = size
+            if k == 0:
+                break
+        else:
+            high = size
+    if low < budget:
+        scarce = ", ".join(f"{i}:{n}" for i, (g, h) in enumerate(zip(goals, have, strict=True)) for n in np.flatnonzero(g * budget * tokens.sum() > h * (1 + MET)))
+        warnings.warn(f"the targets are infeasible at {budget:.3f} of all tokens and met at {low:.3f}; categories (axis:place) with too few tokens: {scarce or 'none alone'}", stacklevel=2)
+    return weight, chance
 
 
 def _categories(docs: DataFrame, source_col: str, lang_col: str, text_col: str) -> list[Column]:
@@ -99,6 +158,9 @@ def calibrate(found: list[tuple[str, str, str, int, int]], targets: dict[str, di
         return [(*c[:3], 0.0, 0.0) for c in found]
     goals = []
     for i, dim in enumerate(DIMS):
+        absent = sorted(n for n, x in (targets or {}).get(dim, {}).items() if x and n not in index[i])
+        if absent:
+            warnings.warn(f"targets of {dim} without documents are spread over the others: {', '.join(absent)}", stacklevel=2)
         have = tokens.sum(tuple(j for j in range(3) if j != i))
         goal = np.array([(targets or {}).get(dim, {}).get(n, 0.0) for n in names[i]]) if (targets or {}).get(dim) else (have / have.sum()) ** TEMPER * (have > 0)
         goals.append(goal / goal.sum())
