@@ -22,13 +22,17 @@ COMMON_WORDS = [
     "el", "y", "los", "las", "del", "se",
 ]
 
-#: Character classes: a histogram bin for each, and one for all other characters. Digits count with small letters.
-CLASSES = ["small letters and digits", "capitals", "white space", "stops", "quotes, brackets and dashes", "other"]
+#: Character classes: a histogram bin for each, and one for all other characters. Distances count digits with small
+#: letters, as clean texts hold few or many of them; their share has a limit of its own.
+CLASSES = ["small letters", "capitals", "white space", "stops", "quotes, brackets and dashes", "digits", "other"]
 
 MIN_WORDS = 50  # base rule: fewer words fail
 REPEAT_SHARE = 50  # base rule: more than this percentage of words in repeated windows fails
 CLASS_DISTANCE = 0.13  # verdict: largest distance of character classes from the nearest reference
-WORD_DISTANCE = 0.45  # verdict: largest distance of common words from the nearest reference
+WORD_DISTANCE = 0.45  # verdict: largest distance of common words from a reference
+DIGIT_SHARE = 25  # verdict: largest percentage of digits among characters
+WORD_MARGIN = 0.98  # and largest share of the distance that a text without any common word has from the reference
+COMMON_SHARE = 0.1  # references with fewer common words tell nothing by their absence
 GUARD_WORDS = 50  # texts with fewer words are not judged by divergence
 GUARD_CHARS = 200  # nor those with fewer characters
 
@@ -46,9 +50,9 @@ def class_counts(text: Column) -> Column:
         return let(left[2], lambda r: F.concat(F.array(size(text) - size(left[0]), size(left[0]) - size(left[1]), size(left[1]) - size(r)), _marks(r)))
 
     def _marks(r: Column) -> Column:
-        return let(F.regexp_replace(r, r"[.,]+", ""), lambda q: let(F.regexp_replace(q, r"[;:!?'\x22()-]+", ""), lambda o: F.array(size(r) - size(q), size(q) - size(o), size(o))))
+        return let(F.regexp_replace(r, r"[.,]+", ""), lambda q: let(F.regexp_replace(q, r"[;:!?'\x22()-]+", ""), lambda o: let(F.regexp_replace(o, r"[0-9]+", ""), lambda d: F.array(size(r) - size(q), size(q) - size(o), size(o) - size(d), size(d)))))
 
-    return let(F.regexp_replace(text, r"[\p{Ll}0-9]+", ""), bins)
+    return let(F.regexp_replace(text, r"\p{Ll}+", ""), bins)
 
 
 def word_counts(words: Column) -> Column:
@@ -96,22 +100,37 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a)))
 
 
-def references(counts: DataFrame) -> list[tuple[list[float], list[float]]]:
-    """Histograms (character classes, common words) of each language, over all its documents that are mostly plain.
+#: Histograms of character classes and of common words, and their language.
+Reference = tuple[list[float], list[float], str | None]
+
+
+def _folded(classes: Column) -> Column:
+    """Counts of classes with digits among small letters."""
+    digits = CLASSES.index("digits")
+    return F.array(classes[0] + classes[digits], *[classes[i] for i in range(1, len(CLASSES)) if i != digits])
+
+
+def _few_digits(classes: Column) -> Column:
+    total = F.aggregate(classes, F.lit(0).cast("bigint"), lambda x, y: x + y)
+    return classes[CLASSES.index("digits")] * 100 <= DIGIT_SHARE * total
+
+
+def references(counts: DataFrame) -> list[Reference]:
+    """Histograms (character classes, common words) and name of each language, over all its documents that are mostly plain.
 
     counts: columns lang, classes, common. A document takes part unless over 1 % of its characters are outside the
     named classes or over 20 % are capitals, so that junk does not shape what it is held against. Documents without a
     language count as one more. One row for each language comes to the driver.
     """
     total = F.aggregate("classes", F.lit(0).cast("bigint"), lambda x, y: x + y)
-    plain = counts.where((F.col("classes")[len(CLASSES) - 1] * 100 <= total) & (F.col("classes")[1] * 5 <= total))
-    n, m = len(CLASSES), len(COMMON_WORDS) + 1
+    plain = counts.where((F.col("classes")[len(CLASSES) - 1] * 100 <= total) & (F.col("classes")[1] * 5 <= total)).withColumn("classes", _folded(F.col("classes")))
+    n, m = len(CLASSES) - 1, len(COMMON_WORDS) + 1
     sums = plain.groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(n)], *[F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(m)])
     found = []
     for row in sorted(sums.collect(), key=lambda r: str(r["lang"])):
         c, w = [row[f"c{i}"] or 0 for i in range(n)], [row[f"w{i}"] or 0 for i in range(m)]
         if sum(c) and sum(w):
-            found.append(([x / sum(c) for x in c], [x / sum(w) for x in w]))
+            found.append(([x / sum(c) for x in c], [x / sum(w) for x in w], row["lang"]))
     return found
 
 
@@ -126,12 +145,38 @@ def distance(counts: Column, total: Column, reference: list[float]) -> Column:
     return F.when(total > 0, F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
-def _nearest(counts: Column, refs: list[list[float]]) -> Column:
+def word_limit(common: list[float]) -> float:
+    """Largest distance of common words from a reference: below that of a text without any, where the reference has some."""
+    rest = common[-1]
+    if 1 - rest < COMMON_SHARE:
+        return WORD_DISTANCE
+    bare = math.sqrt(((1 - rest) + math.log2(2 / (1 + rest)) + (rest * math.log2(2 * rest / (1 + rest)) if rest else 0)) / 2)
+    return min(WORD_DISTANCE, WORD_MARGIN * bare)
+
+
+def _distances(counts: Column, refs: list[list[float]]) -> Column:
+    """Distance from each reference."""
+
     def over(a: Column) -> Column:
         total = F.aggregate(a, F.lit(0).cast("bigint"), lambda x, y: x + y).cast("double")
-        return let(total, lambda t: F.array_min(F.array(*[distance(a, t, r) for r in refs])))
+        return let(total, lambda t: F.array(*[distance(a, t, r) for r in refs]))
+
+    return let(counts, over) if refs else F.array().cast("array<double>")
+
 
-    return let(counts, over) if refs else F.lit(None).cast("double")
+def _near(classes: Column, words: Column, lang: Column, refs: list[Reference]) -> Column:
+    """Whether both distances from one reference are within limits; true without references.
+
+    References with few common words can't tell junk by its words: they serve their own language only, unless all are so.
+    """
+    if not refs:
+        return F.lit(True)
+    telling = [1 - r[1][-1] >= COMMON_SHARE for r in refs]
+    found = F.lit(False)
+    for i, (_, common, name) in enumerate(refs):
+        near = (F.coalesce(classes[i], F.lit(0.0)) <= CLASS_DISTANCE) & (F.coalesce(words[i], F.lit(0.0)) <= word_limit(common))
+        found = found | (near if telling[i] or not any(telling) else near & lang.eqNullSafe(F.lit(name)))
+    return found
 
 
 def histograms(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -155,14 +200,12 @@ def counts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return read.select("doc_id", "lang", "n", "w.n_words", (F.col("n") - F.col("classes")[2]).alias("word_chars"), "n_symbols", "n_dup_lines", "w.n_repeat_words", "classes", "w.common")
 
 
-def verdicts(counts: DataFrame, refs: list[tuple[list[float], list[float]]]) -> DataFrame:
+def verdicts(counts: DataFrame, refs: list[Reference]) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
-    near = counts.select(
-        "*", failed.alias("base_failed"), _nearest(F.col("classes"), [r[0] for r in refs]).alias("class_distance"), _nearest(F.col("common"), [r[1] for r in refs]).alias("word_distance")
-    )
+    far = counts.select("*", failed.alias("base_failed"), _distances(_folded(F.col("classes")), [r[0] for r in refs]).alias("by_class"), _distances(F.col("common"), [r[1] for r in refs]).alias("by_word"))
     judged = (F.col("n_words") >= GUARD_WORDS) & (F.col("n") >= GUARD_CHARS)
-    far = (F.coalesce("class_distance", F.lit(0.0)) > CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > WORD_DISTANCE)
-    return near.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~(judged & far)).alias("kept"), "class_distance", "word_distance")
+    near = _near(F.col("by_class"), F.col("by_word"), F.col("lang"), refs) & _few_digits(F.col("classes"))
+    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (~judged | near)).alias("kept"), F.array_min("by_class").alias("class_distance"), F.array_min("by_word").alias("word_distance"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -182,9 +225,9 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def good(w: Column) -> Column:
-        near = F.coalesce(_nearest(class_counts(text), [r[0] for r in refs]), F.lit(0.0)) <= CLASS_DISTANCE
-        near_words = F.coalesce(_nearest(word_counts(w), [r[1] for r in refs]), F.lit(0.0)) <= WORD_DISTANCE
+        by_word = _distances(word_counts(w), [r[1] for r in refs])
+        near = let(class_counts(text), lambda c: _few_digits(c) & let(_distances(_folded(c), [r[0] for r in refs]), lambda a: let(by_word, lambda b: _near(a, b, F.col(lang_col), refs))))
         judged = (F.size(w) >= GUARD_WORDS) & (F.length(text) >= GUARD_CHARS)
-        return (F.size(w) >= MIN_WORDS) & (100 * repeated_words(w) <= REPEAT_SHARE * F.size(w)) & (~judged | (near & near_words))
+        return (F.size(w) >= MIN_WORDS) & (100 * repeated_words(w) <= REPEAT_SHARE * F.size(w)) & (~judged | near)
 
     return docs.where(let(words_of(text), good))

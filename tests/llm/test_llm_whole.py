@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.llm import mixing, queries
+from spanforge.llm import mixing, quality, queries
 
 
 def test_mixing_rows_meet_their_targets(spark):
@@ -28,3 +30,25 @@ def test_mixing_meets_far_targets_and_reports_what_it_cannot():
     assert sum(v for k, v in took.items() if k[0] == "b") / total == pytest.approx(0.5, abs=1e-4)
     assert sum(v for k, v in took.items() if k[1] == "fr") / total == pytest.approx(0.3, abs=1e-4)
     assert total == pytest.approx(80, rel=1e-3)  # source b whole
+
+
+def _junk(kind: str, n: int = 300) -> str:
+    rng = random.Random(kind)
+    if kind == "gibberish":
+        words = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+    elif kind == "numbers":
+        words = [str(rng.randint(10, 10**6)) for _ in range(n)]
+    else:
+        words = rng.choices(["house", "green", "river", "walked", "stone", "paper", "quickly", "seven", "window", "morning", "letter", "bright"], k=n)
+    return " ".join((w.capitalize() if i % 12 == 0 else w) + ("." if i % 12 == 11 else "," if i % 7 == 3 else "") for i, w in enumerate(words))
+
+
+def test_prose_like_junk_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    kinds = ["gibberish", "numbers", "salad"]
+    junk = spark.createDataFrame([(-1 - i, _junk(k), "en") for i, k in enumerate(kinds)], docs.schema)
+    both = docs.unionByName(junk)
+    rows = {r["doc_id"]: r for r in quality.quality(both).collect()}
+    assert [rows[-1 - i]["base_failed"] for i in range(3)] == [False] * 3
+    assert [rows[-1 - i]["kept"] for i in range(3)] == [False] * 3
+    assert {r["doc_id"] for r in quality.keep_good(both).select("doc_id").collect()} == {i for i, r in rows.items() if r["kept"]}
