@@ -24,7 +24,7 @@ COMMON_WORDS = [
 
 #: Character classes: a histogram bin for each, and one for all other characters. Distances count digits with small
 #: letters, as clean texts hold few or many of them; their share has a limit of its own.
-CLASSES = ["small letters", "capitals", "white space", "stops", "quotes, brackets and dashes", "digits", "other"]
+CLASSES = ["small letters", "capitals", "white space", "stops", "quotes, brackets and dashes", "digits", "letters without case and marks", "other"]
 
 MIN_WORDS = 50  # base rule: fewer words fail
 REPEAT_SHARE = 50  # base rule: more than this percentage of words in repeated windows fails
@@ -50,7 +50,7 @@ def class_counts(text: Column) -> Column:
         return let(left[2], lambda r: F.concat(F.array(size(text) - size(left[0]), size(left[0]) - size(left[1]), size(left[1]) - size(r)), _marks(r)))
 
     def _marks(r: Column) -> Column:
-        return let(F.regexp_replace(r, r"[.,]+", ""), lambda q: let(F.regexp_replace(q, r"[;:!?'\x22()-]+", ""), lambda o: let(F.regexp_replace(o, r"[0-9]+", ""), lambda d: F.array(size(r) - size(q), size(q) - size(o), size(o) - size(d), size(d)))))
+        return let(F.regexp_replace(r, r"[.,\u060C\u06D4\u0964\u0965\u3001\u3002\uFF0C\uFF0E]+", ""), lambda q: let(F.regexp_replace(q, r"[;:!?'\x22()\u061B\u061F\u05BE\u05F3\u05F4\u3008-\u300F\u30FB\uFF01\uFF08\uFF09\uFF1A\uFF1B\uFF1F-]+", ""), lambda o: let(F.regexp_replace(o, r"\p{Nd}+", ""), lambda d: let(F.regexp_replace(d, r"[\p{L}\p{M}\u200C\u200D&&[^\p{Lu}\p{Ll}]]+", ""), lambda e: F.array(size(r) - size(q), size(q) - size(o), size(o) - size(d), size(d) - size(e), size(e))))))
 
     return let(F.regexp_replace(text, r"\p{Ll}+", ""), bins)
 

@@ -52,3 +52,21 @@ def test_prose_like_junk_is_rejected(spark):
     assert [rows[-1 - i]["base_failed"] for i in range(3)] == [False] * 3
     assert [rows[-1 - i]["kept"] for i in range(3)] == [False] * 3
     assert {r["doc_id"] for r in quality.keep_good(both).select("doc_id").collect()} == {i for i, r in rows.items() if r["kept"]}
+
+
+CASELESS = {
+    "ar": "ذهب الرجل إلى السوق في الصباح واشترى خبزا وحليبا، ثم عاد إلى بيته وقرأ كتابا قديما عن تاريخ المدينة.",
+    "hi": "आदमी सुबह बाज़ार गया और रोटी और दूध खरीदा। फिर वह अपने घर लौटा और शहर के इतिहास की किताब पढ़ी।",
+    "ko": "남자는 아침에 시장에 가서 빵과 우유를 샀다. 그리고 집에 돌아와 도시의 역사에 관한 오래된 책을 읽었다.",
+}
+
+
+def test_languages_without_case_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng, rows = random.Random(3), []
+    for k, (lang, text) in enumerate(CASELESS.items()):
+        for i in range(3):
+            rows.append((-1 - 10 * k - i, " ".join(" ".join(rng.sample(text.split(), len(text.split()))) for _ in range(8)), lang))
+    rows.append((-100, _junk("gibberish"), "en"))
+    got = {r["doc_id"]: r for r in quality.quality(docs.unionByName(spark.createDataFrame(rows, docs.schema))).collect()}
+    assert all(got[i]["kept"] for i, _, _ in rows[:-1]) and not got[-100]["kept"]
