@@ -32,15 +32,15 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-#: Candidates beyond the base patterns, each with a pattern cheap to rule out by `needs`.
-_LOOSE: list[tuple[str, tuple[str, ...], re.Pattern[str]]] = [
-    ("email", ("(at)", "[at]", " at "), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{2,63}){1,4}", re.I)),
-    ("phone", ("-", ".", " "), re.compile(r"(?<![\w+.-])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![\w-])")),
-    ("card", ("",), re.compile(r"(?<![\w.-])(?:(?:[0-9]{4}[\x20-]){3}[0-9]{4}|[0-9]{13,19})(?![\w-])")),
-    ("ip", (".",), re.compile(r"(?<![\w.])[0-9]{1,4}(?:\.[0-9]{1,4}){3}(?![\w.])")),
-    ("ssn", ("-",), re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
-    ("secret", ("password", "token", "secret", "api_key", "api-key", "apikey", "passwd", "Password"), re.compile(r"(?:password|passwd|token|secret|api[_-]?key)\x20?[=:]\x20?\x22?([A-Za-z0-9_/+-]{12,128})\x22?", re.I)),
-    ("name", ("Mr. ", "Mrs. ", "Ms. ", "Dr. "), re.compile(r"(?:Mr|Mrs|Ms|Dr)\.\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?")),
+#: Candidates beyond the base patterns. Texts without a match of the second pattern, which is cheaper, have none of the third.
+_LOOSE: list[tuple[str, re.Pattern[str] | None, re.Pattern[str]]] = [
+    ("email", re.compile(r"[(\[\x20]at[)\]\x20]", re.I), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{2,63}){1,4}", re.I)),
+    ("phone", _DIGIT, re.compile(r"(?<![\w+.-])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![\w-])")),
+    ("card", _DIGIT, re.compile(r"(?<![\w.-])(?:(?:[0-9]{4}[\x20-]){3}[0-9]{4}|[0-9]{13,19})(?![\w-])")),
+    ("ip", _DIGIT, re.compile(r"(?<![\w.])[0-9]{1,4}(?:\.[0-9]{1,4}){3}(?![\w.])")),
+    ("ssn", _DIGIT, re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
+    ("secret", None, re.compile(r"(?:password|passwd|token|secret|api[_-]?key)\x20?[=:]\x20?\x22?([A-Za-z0-9_/+-]{12,128})\x22?", re.I)),
+    ("name", None, re.compile(r"(?:Mr|Mrs|Ms|Dr)\.\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?")),
 ]
 
 #: Fixed values of the gazetteer labeler: words and endings that go with a kind.
@@ -114,16 +114,9 @@ def base_spans(text: str) -> list[Span]:
 def _loose_spans(text: str, base: list[Span]) -> list[Span]:
     """Candidates beyond the base spans, none overlapping another or one of those."""
     found: list[Span] = []
-    digits = None
     for kind, needs, pattern in _LOOSE:
-        if not any(n in text for n in needs):
+        if needs is not None and not needs.search(text):
             continue
-        if kind in ("phone", "card", "ip", "ssn"):
-            digits = _DIGIT.search(text) is not None if digits is None else digits
-            if not digits:
-                continue
-        if kind == "email" and " at " in text and "(at)" not in text and "[at]" not in text and " dot " not in text:
-            continue  # the word alone is no sign of an address
         for m in pattern.finditer(text):
             s, e = m.span()
             if all(e <= b or s >= c for _, b, c in base) and all(e <= b or s >= c for _, b, c in found):
@@ -138,6 +131,9 @@ def _well_formed(kind: str, value: str) -> bool:
         return _luhn(digits)
     if kind == "ip":
         return all(int(p) <= 255 for p in value.split("."))
+    if kind == "email":  # after the word alone, a sentence's end looks like a domain's
+        low = value.lower()
+        return any(x in low for x in ("(at)", "[at]", "(dot)", "[dot]", " dot ")) or low.endswith(tuple(g for g in GAZETTEER["email"] if g[0] == "."))
     if kind == "phone":
         return "(" in value or "+" in value
     if kind == "secret":

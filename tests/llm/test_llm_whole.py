@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.llm import mixing, quality, queries
+from spanforge.llm import mixing, pii, quality, queries
 
 
 def test_mixing_rows_meet_their_targets(spark):
@@ -70,3 +70,26 @@ def test_languages_without_case_stay(spark):
     rows.append((-100, _junk("gibberish"), "en"))
     got = {r["doc_id"]: r for r in quality.quality(docs.unionByName(spark.createDataFrame(rows, docs.schema))).collect()}
     assert all(got[i]["kept"] for i, _, _ in rows[:-1]) and not got[-100]["kept"]
+
+
+def test_every_match_of_a_pattern_is_a_candidate():
+    for text in ["PASSWORD=abcd1234efgh5678", "API_KEY: abcd1234efgh5678", "Token: abcd1234efgh5678", "SECRET=abcd1234efgh5678", "ann(AT)example.com", "ann [AT] example.com", "ann at example.com", "ann AT example.com"]:
+        for around in ("", " and (at) dot dot"):
+            spans = pii._loose_spans(text + around, [])
+            assert [(s, e) for _, s, e in spans] == [(0, len(text))], text
+    rules = {kind: pattern for kind, _, pattern in pii._LOOSE}
+    rng = random.Random(2)
+    parts = ["a", "at", "(at)", "[AT]", " at ", " dot ", ".", "example.com", "ToKen", "Pa\u017fsword", "=", "abcd1234efgh", "Mr. ", "Ann", "555-123-4567", "078-05-1120", "10.1.2.3", " "]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(12))
+        found = pii._loose_spans(text, [])
+        for rule in rules.values():
+            assert all(any(s < e2 and s2 < e for _, s2, e2 in found) for s, e in (m.span() for m in rule.finditer(text)))
+
+
+def test_secrets_are_masked_in_any_case(spark):
+    texts = ["PASSWORD=abcd1234efgh5678 here", "Token: abcd1234efgh5678 here", "mail ann at example.com now", "we met at noon.Then we left"]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], docs.schema)
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs.unionByName(extra)).where("doc_id < 0").collect()}
+    assert [got[-1 - i] for i in range(4)] == ["<secret> here", "<secret> here", "mail <email> now", texts[3]]
