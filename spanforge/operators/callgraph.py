@@ -152,15 +152,17 @@ def without_empties(kb: DataFrame) -> DataFrame:
     return drop_hanging(drop_callees(kb, implicit_models(kb).where("size(flat) = 0")))
 
 
-def cycles(graph: DataFrame, max_length: int = 12) -> DataFrame:
-    """(api, length): APIs on a cycle of at most max_length edges, and the length of their shortest one.
+def cycles(graph: DataFrame) -> DataFrame:
+    """(api, length): APIs on a cycle, and the length of their shortest one.
 
-    Walks are kept as pairs of their ends, so that rows are bounded by the pairs of APIs.
+    Walks are kept as pairs of their ends, met first, so that rows and rounds are bounded by the pairs of APIs.
     """
     walks = cut(graph.select(F.col("src").alias("api"), F.col("dst").alias("at")).distinct())
     seen = walks.withColumn("k", F.lit(1))
     step = graph.select(F.col("src").alias("at"), F.col("dst").alias("to"))
-    for k in range(2, max_length + 1):
+    k = 1
+    while True:
+        k += 1
         walks = cut(walks.join(step, "at").select("api", F.col("to").alias("at")).distinct().join(seen, ["api", "at"], "left_anti"))
         if walks.isEmpty():
             break
