@@ -289,9 +289,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     to them. Repeated rows count as copies; a null id stays in its class but never names it. Other columns are ignored.
     recall is the probability with which the paths meet for a pair at the threshold (more for closer pairs).
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("doc", F.xxhash64("text", F.lit("text")).alias("node"), "text")
+    rows = _rows(docs, id_col, text_col)
+    return rows.select("doc", "node").join(_classes(rows, ngram, threshold, recall, small), "node").select(F.col("doc").alias("doc_id"), "text_id", "class_id", "n_links", "n_text_links")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
+    return rows.select("doc", F.xxhash64("text", F.lit("text")).alias("node"), "text", *more)
+
+
+def _classes(rows: DataFrame, ngram: int = 5, threshold: float = 0.8, recall: float = 0.9999, small: int = 64) -> DataFrame:
+    """Class (label, class_id), text_id and links of every different text of rows (doc, node, text)."""
+    small_batches(rows.sparkSession)
     marked = rows.select(F.col("doc").cast("long").alias("doc"), "node", "text").mapInArrow(_embed(ngram), "doc long, node long, n int, emb array<int>, sk binary")
     cls = written(marked.groupBy("node").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.first("emb").alias("emb"), F.first("sk").alias("sk")), "texts")
 
@@ -331,12 +340,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = components(checked.where("node <> root").select("node", "root"))
     named = cls.select("node", "rep", "copies").join(linked, "node", "left").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-    named = named.join(names, "label").select("node", F.col("rep").alias("text_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
-    return rows.select("doc", "node").join(named, "node").select(F.col("doc").alias("doc_id"), "text_id", "class_id", "n_links", "n_text_links")
+    return named.join(names, "label").select("node", "label", F.col("rep").alias("text_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
 
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without all but the least id of each class of near duplicates; columns as they are. Rows without an id stay."""
-    keep = near_duplicates(docs, id_col, text_col, **options).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__kept_id")).distinct()
-    there = docs.join(keep, F.col(id_col) == F.col("__kept_id"), "left_semi")
-    return there.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each class of near duplicates: that of the least id, a null one last; columns as they are.
+
+    Rows that repeat an id are told apart by a key that they are written with.
+    """
+    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = _rows(keyed, id_col, text_col, "__row")
+    first = F.min(F.struct(F.col("doc").isNull().alias("without"), F.col("doc").cast("long").alias("doc"), "node", "__row"))
+    kept = rows.select("doc", "node", "__row").join(_classes(rows.drop("__row"), **options).select("node", "label"), "node").groupBy("label").agg(first.alias("first"))
+    return keyed.join(kept.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.llm import mixing, pii, quality, queries
+from spanforge.llm import jaccard, mixing, pii, quality, queries
 
 
 def test_mixing_rows_meet_their_targets(spark):
@@ -93,3 +93,29 @@ def test_secrets_are_masked_in_any_case(spark):
     extra = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], docs.schema)
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs.unionByName(extra)).where("doc_id < 0").collect()}
     assert [got[-1 - i] for i in range(4)] == ["<secret> here", "<secret> here", "mail <email> now", texts[3]]
+
+
+def test_one_row_of_each_class_stays(spark, sf_dir):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    rows = docs + docs[:20] * 3 + [(None, t) for _, t in docs[10:30]] + [(None, "only without an id")] * 2 + [(None, None), (-5, ""), (-5, "")]
+    sets = []
+    for _, t in rows:
+        w = (t or "").split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else []))
+    label = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if (rows[i][1] or "") == (rows[j][1] or "") or a and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                label[root(i)] = root(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        k = root(i)
+        least[k] = min(least.get(k, (True, 0)), (doc is None, doc or 0))
+    got = jaccard.one_per_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted(least.values())
