@@ -1,15 +1,15 @@
 """Main-text extraction by scoring a page's tree.
 
 Paragraphs pass points for length and commas to their ancestors, discounted by link density. The best container is
-kept with those of its siblings that score well too; an article or main element around it is kept whole. Boilerplate
-elements (by tag, role, class or id) are removed before scoring.
+kept with those of its siblings that score well too; an article or main element around it is kept whole, link lists
+included, with the headings and article parts beside it. Boilerplate elements (by tag, role, class or id) are removed before scoring.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,11 +58,11 @@ class _Node:
 
 def _is_bad(tag: str, attrs: str) -> tuple[bool, bool]:
     """Whether an element is boilerplate, and whether only its class or id says so."""
-    if tag in _DROP:
+    if tag in _DROP and tag != "form":
         return True, False
+    named = tag == "form"  # some pages are one form
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False, False
-    named = False
+        return named, named
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
@@ -193,6 +193,31 @@ def _walk(root: _Node) -> Iterator[_Node]:
         stack.extend(k for k in reversed(x.kids) if not isinstance(k, str) and not k.bad)
 
 
+def _with_siblings(around: _Node, value: Callable[[_Node], float]) -> list[_Node]:
+    """An article with the other articles beside it that score well, and with headings beside it and its ancestors.
+
+    Headings outside a main or article element stay where the article has none.
+    """
+    if around.up is None:
+        return [around]
+    best = lambda k: max(map(value, _walk(k)))
+    least = 0.2 * best(around)
+    kept = [k for k in around.up.kids if k is around or not isinstance(k, str) and not k.bad and (k.tag in _HEADING or k.tag == "header" or k.tag == around.tag and best(k) >= least)]
+    inside, x = [], around.up
+    while x is not None:
+        inside.append(x)
+        x = x.up
+    whole = max((i for i, x in enumerate(inside) if x.tag in ("article", "main")), default=-1)
+    if whole < 0:
+        titled = any(x.tag in _HEADING for x in _walk(around))
+        return [k for k in kept if not titled or k.tag not in _HEADING and k.tag != "header"]
+    for child, x in zip(inside[:whole], inside[1 : whole + 1], strict=True):
+        at = next(i for i, k in enumerate(x.kids) if k is child)
+        beside = lambda ks: [k for k in ks if not isinstance(k, str) and not k.bad and (k.tag in _HEADING or k.tag == "header")]
+        kept = beside(x.kids[:at]) + kept + beside(x.kids[at + 1 :])
+    return kept
+
+
 def _container(root: _Node) -> list[_Node]:
     """The best container, with siblings worth keeping, in page order."""
     _measure(root, False)
@@ -220,7 +245,7 @@ def _container(root: _Node) -> list[_Node]:
     while around is not None and around.tag not in ("article", "main"):
         around = around.up
     if around is not None:
-        return [around]
+        return _with_siblings(around, value)
     if best.up is None:
         return [best]
     least, kept = max(10.0, 0.2 * value(best)), []
@@ -240,6 +265,21 @@ def _menu(node: _Node) -> bool:
     return sum(x.tag == "a" for x in _walk(node)) >= 3
 
 
+def _headings(node: _Node) -> list[_Node]:
+    """The headings at any depth, none inside another."""
+    found, stack = [], list(reversed(node.kids))
+    while stack:
+        k = stack.pop()
+        if isinstance(k, str) or k.bad:
+            continue
+        if k.tag in _HEADING:
+            k.up = node
+            found.append(k)
+        else:
+            stack.extend(reversed(k.kids))
+    return found
+
+
 def main_text(page: str | None) -> str:
     """The article's text: blocks in page order, a line each; empty if there is none."""
     if not page:
@@ -253,10 +293,7 @@ def main_text(page: str | None) -> str:
                 in_article |= up.tag in ("article", "main")
                 up = up.up
             x.bad = not in_article
-            for k in x.kids:
-                if not isinstance(k, str) and k.tag not in _HEADING:
-                    k.bad = True
-            x.kids = [k for k in x.kids if not isinstance(k, str)]
+            x.kids = _headings(x)
     lines: list[str] = []
     part: list[str] = []
 
@@ -267,6 +304,10 @@ def main_text(page: str | None) -> str:
             lines.append(line)
 
     for top in _container(root):
+        in_article, up = False, top
+        while up is not None:
+            in_article |= up.tag in ("article", "main")
+            up = up.up
         stack: list[_Node | str | None] = [top]
         while stack:
             k = stack.pop()
@@ -276,7 +317,7 @@ def main_text(page: str | None) -> str:
                 part.append(k)
             elif k.tag == "br":
                 part.append(" ")
-            elif not k.bad and not (k is not top and _menu(k)):
+            elif not k.bad and not (k is not top and not in_article and _menu(k)):
                 if k.tag in _BLOCK:
                     end()
                     stack.append(None)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.llm import jaccard, mixing, pii, quality, queries
+from spanforge.llm import html, jaccard, mixing, pii, quality, queries
 
 
 def test_mixing_rows_meet_their_targets(spark):
@@ -119,3 +119,23 @@ def test_one_row_of_each_class_stays(spark, sf_dir):
         least[k] = min(least.get(k, (True, 0)), (doc is None, doc or 0))
     got = jaccard.one_per_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted(least.values())
+
+
+STORY = "<p>This is a long paragraph, with commas, and with text enough.</p><p>And another one, with more text.</p>"
+LINES = "This is a long paragraph, with commas, and with text enough.\nAnd another one, with more text."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<main><h1>Title</h1><article>{STORY}</article></main>", f"Title\n{LINES}"),
+        (f"<main><h1>Title</h1><div><article>{STORY}</article></div></main>", f"Title\n{LINES}"),
+        (f"<div><article>{STORY}</article><article>{STORY}</article></div>", f"{LINES}\n{LINES}"),
+        (f"<article><header><div><h1>T</h1><span>by x</span></div></header>{STORY}</article>", f"T\n{LINES}"),
+        (f"<article>{STORY}<ol><li><a href=a>One source</a><li><a href=b>Two source</a><li><a href=c>Three source</a></ol></article>", f"{LINES}\nOne source\nTwo source\nThree source"),
+        (f"<body><form action=x><div>{STORY}</div></form></body>", LINES),
+        (f"<body><nav><a href=x>a</a></nav><h1>Site</h1><article><h1>T</h1>{STORY}</article><form><p>Mail<p>Name</form></body>", f"T\n{LINES}"),
+    ],
+)
+def test_html_keeps_whole_articles(page, text):
+    assert html.main_text(page) == text
