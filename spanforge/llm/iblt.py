@@ -1,13 +1,13 @@
 """Document fingerprints: invertible Bloom lookup tables of paragraph digests, in Spark expressions only.
 
 A text's paragraphs (lines, cut at sentence ends) have 64-bit digests, whose last CHECK_BITS are a hash of the others.
-A digest goes to one cell of each of three subtables; a cell keeps how many there are and their exclusive or. Tables of
-two versions subtract cell by cell, and digests in both cancel. A cell that then holds a single digest, which its check
-bits tell, gives it away; removing it from its other cells frees more. If cells remain, the difference was too large
-for the table, and a larger one is tried.
+A digest goes to one cell of each of three subtables; a cell keeps how many there are and their exclusive or. A table
+has room for its own digests, and is made larger until peeling gives all of them back, so a fingerprint alone tells
+them. Tables of two versions subtract cell by cell, and digests in both cancel. A cell that then holds a single digest,
+which its check bits and its place tell, gives it away; removing it from its other cells frees more. If cells remain,
+both tables' digests go to larger tables, which are subtracted and peeled again.
 
-Tables are kept sparse: arrays of cells in order. They are folded from codes (cell << 32 | place of the digest), which
-sort as plain numbers.
+Tables are kept sparse: arrays of cells in order. Steps are columns of their own, so that no expression nests deep.
 """
 
 from __future__ import annotations
@@ -17,14 +17,13 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.common import let
 
-SUB = 16  # cells of a subtable of the fingerprint
+SUB = 16  # cells of a subtable at least
 CHECK_BITS = 20
-ROUNDS = 40  # peeling rounds at most
+ROUNDS = 30  # peeling rounds at most
+GROW = 8  # a table that does not peel is made so many times larger
+NARROW = 32  # cells in which removed digests are looked up one by one; more are folded with all cells
 BLOCK_ROWS = 4000  # documents of a block of neighbours, about
-MAX_BLOCKS = 20_000
-
-_LOW = 0xFFFFFFFF
-_CELLS = "array<struct<cell:bigint,n:int,key:bigint>>"
+MAX_BLOCKS = 100_000  # beyond 400 million documents blocks grow; they are sorted on disk, not held
 
 
 def digests(text: Column) -> Column:
@@ -39,86 +38,120 @@ def _checked(key: Column) -> Column:
     return F.shiftleft(high, CHECK_BITS).bitwiseOR(F.xxhash64(high).bitwiseAND(F.lit((1 << CHECK_BITS) - 1)))
 
 
-def _codes(key: Column, at: Column, sub: Column) -> Column:
-    """Codes of a digest's three cells."""
-    return F.array(*[F.shiftleft(F.pmod(F.xxhash64(key, sub, F.lit(j)), sub) + sub * j, 32).bitwiseOR(at.cast("bigint")) for j in range(3)])
-
+# The steps below are SQL expressions as text, which Spark parses at once.
 
-def _fold(codes: Column, ns: Column, keys: Column) -> Column:
-    """Cells that are not empty, from sorted codes of places in ns and keys."""
-    cell = lambda c: F.shiftright(c, 32)
-    place = lambda c: c.bitwiseAND(F.lit(_LOW)).cast("int")
-    heads = F.filter(F.sequence(F.lit(0), F.size(codes) - 1), lambda i: (i == 0) | (cell(F.get(codes, i)) != cell(F.get(codes, i - 1))))
 
-    def one(s: Column, end: Column) -> Column:
-        first = F.get(codes, s)
-        many = lambda seg: F.struct(
-            cell(first).alias("cell"),
-            F.aggregate(seg, F.lit(0), lambda a, c: a + F.get(ns, place(c))).alias("n"),
-            F.aggregate(seg, F.lit(0).cast("bigint"), lambda a, c: a.bitwiseXOR(F.get(keys, place(c)))).alias("key"),
-        )
-        alone = F.struct(cell(first).alias("cell"), F.get(ns, place(first)).alias("n"), F.get(keys, place(first)).alias("key"))
-        return F.when(end - s == 1, alone).otherwise(let(F.slice(codes, s + 1, end - s), many))
+def _cell(key: str, j: str, sub: str) -> str:
+    """A digest's cell in subtable j (0 to 2) of sub cells, a power of two."""
+    return f"((xxhash64({key}, {j}) & ({sub} - 1)) * 3 + {j})"
 
-    cells = let(heads, lambda h: F.transform(h, lambda s, k: one(s, F.coalesce(F.get(h, k + 1), F.size(codes)))))
-    full = F.filter(cells, lambda c: (c["n"] != 0) | (c["key"] != 0))
-    return F.when(F.size(codes) == 0, F.array().cast(_CELLS)).otherwise(full)
 
+def _dealt(keys: str, n: int, sub: str) -> str:
+    """An entry for each of the three cells of every digest, counted n."""
+    entries = ", ".join(f"named_struct('cell', {_cell('k', str(j), sub)}, 'n', {n}, 'key', k)" for j in range(3))
+    return f"flatten(transform({keys}, k -> array({entries})))"
 
-def _table(keys: Column, ns: Column, sub: Column) -> Column:
-    """The table of digests, each counted as ns says."""
-    codes = F.sort_array(F.flatten(F.transform(keys, lambda k, i: _codes(k, i, sub))))
-    return let(codes, lambda c: _fold(c, ns, keys))
 
+def _alone(c: str, sub: str) -> str:
+    """Whether a cell holds one digest: its count, its check bits and its place say so."""
+    high = f"shiftright({c}.key, {CHECK_BITS})"
+    return f"({c}.n in (1, -1) and {c}.key = (shiftleft({high}, {CHECK_BITS}) | (xxhash64({high}) & {(1 << CHECK_BITS) - 1})) and {c}.cell = {_cell(c + '.key', f'cast({c}.cell % 3 as int)', sub)})"
 
-def fingerprint(keys: Column) -> Column:
-    """The table of 3 * SUB cells as text: cell:count:digests, in hexadecimal, of each cell that is not empty."""
-    cells = let(F.array_repeat(F.lit(1), F.size(keys)), lambda ns: _table(keys, ns, F.lit(SUB).cast("bigint")))
-    return F.array_join(F.transform(cells, lambda c: F.concat_ws(":", c["cell"].cast("string"), c["n"].cast("string"), F.lower(F.hex(c["key"])))), " ")
 
+def _heads(entries: str) -> str:
+    """Where the runs of a cell begin in sorted entries, and their end as the last one."""
+    starts = f"filter(sequence(0, size({entries}) - 1), i -> i = 0 or get({entries}, i).cell != get({entries}, i - 1).cell)"
+    return f"if(size({entries}) = 0, array(0), concat({starts}, array(size({entries}))))"
 
-def _peel(cells: Column, sub: Column) -> Column:
-    """How many digests a table of a difference gives back; null if cells remain."""
 
-    def step(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(state["cells"], lambda c: ((c["n"] == 1) | (c["n"] == -1)) & (c["key"] == _checked(c["key"]))), lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n"))))
-        stuck = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("stuck"))
+def _folded(entries: str, heads: str) -> str:
+    """Cells that are not empty, from sorted entries."""
+    more = f"aggregate(slice({entries}, s + 2, get({heads}, i + 1) - s - 1), get({entries}, s), (a, c) -> named_struct('cell', a.cell, 'n', a.n + c.n, 'key', a.key ^ c.key))"
+    return f"filter(transform(slice({heads}, 1, size({heads}) - 1), (s, i) -> if(get({heads}, i + 1) = s + 1, get({entries}, s), {more})), c -> c.n != 0 or c.key != 0)"
 
-        def remove(p: Column) -> Column:
-            have = F.size(state["cells"])
-            keys = F.concat(F.transform(state["cells"], lambda c: c["key"]), F.transform(p, lambda x: x["key"]))
-            ns = F.concat(F.transform(state["cells"], lambda c: c["n"]), F.transform(p, lambda x: -x["n"]))
-            codes = F.concat(F.transform(state["cells"], lambda c, i: F.shiftleft(c["cell"], 32).bitwiseOR(i.cast("bigint"))), F.flatten(F.transform(p, lambda x, i: _codes(x["key"], i + have, sub))))
-            folded = let(F.sort_array(codes), lambda c: let(keys, lambda k: let(ns, lambda n: _fold(c, n, k))))
-            return let(folded, lambda f: F.struct(f.alias("cells"), (state["found"] + F.size(p)).alias("found"), (F.size(f) == 0).alias("stuck")))
 
-        return F.when(state["stuck"], state).otherwise(let(pure, lambda p: F.when(F.size(p) == 0, stuck).otherwise(remove(p))))
+def _peel(cells: str, sub: str) -> str:
+    """(plus, minus) digests that cells give back, by the sign of their count; null if cells remain.
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), (F.size(cells) == 0).alias("stuck"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(F.size(s["cells"]) == 0, s["found"]))
+    A round has five phases, each of which fills fields of the state: which cells hold one digest; those digests; the
+    entries of the other cells, less those digests; the runs of equal cells; and the cells that remain.
+    """
+    fields = ("cells", "plus", "minus", "lone", "more", "less", "entries", "heads", "over")
+    put = lambda **new: "named_struct(" + ", ".join(f"'{f}', {new.get(f, 'st.' + f)}" for f in fields) + ")"
+    mark = put(lone=f"transform(st.cells, c -> {_alone('c', sub)})")
+    keys = lambda n: f"array_distinct(filter(st.cells, (c, i) -> get(st.lone, i) and c.n = {n}).key)"
+    find = put(more=keys(1), less=keys(-1), entries="filter(st.cells, (c, i) -> not get(st.lone, i))")
+    gone = f"concat({_dealt('st.more', -1, sub)}, {_dealt('st.less', 1, sub)})"
+    near = f"concat(st.entries, filter({gone}, c -> array_contains(st.entries.cell, c.cell)))"
+    left = f"case when size(st.entries) = 0 then st.entries when size(st.entries) <= {NARROW} then {near} else concat(st.cells, {gone}) end"
+    remove = put(entries=f"sort_array({left})", plus="concat(st.plus, st.more)", minus="concat(st.minus, st.less)", over="size(st.more) = 0 and size(st.less) = 0")
+    runs = put(heads=_heads("st.entries"))
+    fold = put(cells=_folded("st.entries", "st.heads"), over="size(st.entries) = 0")
+    none = "cast(array() as array<bigint>)"
+    begin = {"cells": cells, "plus": none, "minus": none, "lone": "array(false)", "more": none, "less": none, "entries": cells, "heads": "array(0)", "over": f"size({cells}) = 0"}
+    phases = " ".join(f"when nth % 5 = {i} then {x}" for i, x in enumerate((mark, find, remove, runs)))
+    step = f"case when st.over then st {phases} else {fold} end"
+    done = "if(st.over and size(st.entries) = 0, named_struct('plus', st.plus, 'minus', st.minus), null)"
+    start = "named_struct(" + ", ".join(f"'{f}', {begin[f]}" for f in fields) + ")"
+    return f"if({cells} is null, null, aggregate(sequence(0, {5 * ROUNDS}), {start}, (st, nth) -> {step}, st -> {done}))"
+
+
+def _room(n: Column) -> Column:
+    """The least power of two that is SUB or more, and twice n or more."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(F.greatest(2 * n, F.lit(SUB)).cast("bigint") - 1)))
+
+
+def _peeled(df: DataFrame, entries: str, sub: str, name: str) -> DataFrame:
+    """df with the cells of entries as <name>_cells, and what they give back as <name>_peel. Null entries give nulls."""
+    df = df.withColumn("__entries", F.expr(f"sort_array({entries})"))
+    df = df.withColumn("__heads", F.expr(f"if(__entries is null, null, {_heads('__entries')})"))
+    df = df.withColumn(f"{name}_cells", F.expr(_folded("__entries", "__heads"))).drop("__entries", "__heads")
+    return df.withColumn(f"{name}_peel", F.expr(_peel(f"{name}_cells", sub)))
+
+
+def with_table(df: DataFrame, keys: str, name: str) -> DataFrame:
+    """df with the table of its distinct digests: sub, cells, and keys, the digests that peeling gives back.
+
+    A table that does not give all of them back is made GROW times larger. If that does not do either (digests that
+    share all their hashes), the larger one stays, and keys are the digests as they came.
+    """
+    df = _peeled(df.withColumn("__sub", _room(F.size(keys))), _dealt(keys, 1, "__sub"), "__sub", "__a")
+    df = df.withColumn("__more", F.expr(f"if(__a_peel is null, __sub * {GROW}, null)"))
+    df = _peeled(df, f"if(__more is null, null, {_dealt(keys, 1, '__more')})", "__more", "__b")
+    first = "named_struct('sub', __sub, 'cells', __a_cells, 'keys', __a_peel.plus)"
+    larger = f"named_struct('sub', __more, 'cells', __b_cells, 'keys', coalesce(__b_peel.plus, {keys}))"
+    return df.withColumn(name, F.expr(f"if(__more is null, {first}, {larger})")).drop("__sub", "__more", "__a_cells", "__a_peel", "__b_cells", "__b_peel")
 
 
-def difference(a: Column, b: Column) -> Column:
-    """How many digests two arrays do not share: from their subtracted tables, retried larger until peeling succeeds.
+def with_difference(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """df with (removed, added): digests of table a only and of table b only, from the subtracted tables.
 
-    The first try is at the fingerprint's size, unless there are more digests than half its cells. The next sizes follow the
-    number of digests; they peel but for rare chance, and after three of them the digests are compared as they are.
+    Tables of different sizes are subtracted at the larger one, to which the smaller one's digests are dealt again. If
+    that does not peel, both are dealt to tables GROW times larger; if that does not either, the tables' own digests are
+    compared as they are.
     """
-    total = (F.size(a) + F.size(b)).cast("bigint")
+    df = df.withColumn("__sub", F.expr(f"greatest({a}.sub, {b}.sub)"))
+    mine = f"if({a}.sub = __sub, {a}.cells, {_dealt(a + '.keys', 1, '__sub')})"
+    minus = f"transform({b}.cells, c -> named_struct('cell', c.cell, 'n', -c.n, 'key', c.key))"
+    df = _peeled(df, f"concat({mine}, if({b}.sub = __sub, {minus}, {_dealt(b + '.keys', -1, '__sub')}))", "__sub", "__a")
+    df = df.withColumn("__more", F.expr(f"if(__a_peel is null, __sub * {GROW}, null)"))
+    again = f"concat({_dealt(a + '.keys', 1, '__more')}, {_dealt(b + '.keys', -1, '__more')})"
+    df = _peeled(df, f"if(__more is null, null, {again})", "__more", "__b")
+    plain = f"named_struct('plus', array_except({a}.keys, {b}.keys), 'minus', array_except({b}.keys, {a}.keys))"
+    df = df.withColumn("__found", F.expr(f"coalesce(__a_peel, __b_peel, {plain})"))
+    return df.withColumn(name, F.expr("named_struct('removed', __found.plus, 'added', __found.minus)")).drop("__sub", "__more", "__a_cells", "__a_peel", "__b_cells", "__b_peel", "__found")
 
-    def attempt(sub: Column) -> Column:
-        ns = F.concat(F.array_repeat(F.lit(1), F.size(a)), F.array_repeat(F.lit(-1), F.size(b)))
-        return let(F.concat(a, b), lambda keys: let(ns, lambda n: let(sub, lambda s: let(_table(keys, n, s), lambda cells: _peel(cells, s)))))
 
-    plain = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    small = F.when(2 * total <= 3 * SUB, attempt(F.lit(SUB).cast("bigint")))
-    return F.coalesce(small, *[attempt(total * f + 8 * f) for f in (2, 4, 8)], plain)
+def as_text(table: Column) -> Column:
+    """A table as text: sub, then cell:count:digests of each cell that is not empty, numbers but sub in hexadecimal."""
+    cell = lambda c: F.concat_ws(":", F.lower(F.hex(c["cell"])), F.lower(F.hex(c["n"].cast("bigint"))), F.lower(F.hex(c["key"])))
+    return F.concat_ws(" ", table["sub"].cast("string"), F.array_join(F.transform(table["cells"], cell), " "))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Shared digests over all digests of two arrays, 0 to 1; 1 for two empty ones."""
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(let(difference(a, b), lambda d: (total - d) / (total + d).cast("double")))
+def likeness(table: Column, diff: Column) -> Column:
+    """Shared digests over all digests of a table and the one it differs from by diff, 0 to 1; 1 for two empty ones."""
+    n, gone, more = F.size(table["keys"]), F.size(diff["removed"]), F.size(diff["added"])
+    return F.when(n + more == 0, F.lit(1.0)).otherwise((n - gone) / (n + more).cast("double"))
 
 
 def _block(key: Column, bounds: list[int]) -> Column:
@@ -156,28 +189,35 @@ def in_blocks(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every text and of an edit of it, and how alike they are.
+    """Fingerprints of every text and of an edit of it, how alike they are, and the digests that differ.
 
     The edited text is the text whose last floor(n/2) code points are replaced by the first as many (or all) of the
-    next document's. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next
-    n_paragraphs and edited_diff, the number of differing digests recovered between text and edited text. Null texts
-    are empty, with an empty fingerprint; two empty texts are alike (1). Repeated rows are documents of their own, a
-    single document is its own next, other columns are ignored.
+    next document's. Returns doc_id, n_chars, edited_sha256, fingerprint and edited_fingerprint (the tables as text),
+    near_edited and near_next (of the tables' digests, those in both over all), n_paragraphs, and removed and added:
+    the digests that peeling recovers from the text's table less the edited one's, sorted. Null texts are empty, with
+    an empty table; two empty texts are alike (1). Repeated rows are documents of their own, a single document is its
+    own next, an empty table gives an empty result, and other columns are ignored. A text of any length has a table
+    that is large enough; the table has about 3 cells a paragraph.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks = in_blocks(rows).select("doc_id", "text", "h", "block", "border", digests(F.col("text")).alias("keys"))
+    blocks = with_table(blocks, "keys", "own").drop("keys")
     after = Window.partitionBy("block").orderBy("border", F.col("doc_id").desc_nulls_last(), "h")
-    pairs = blocks.select("*", F.lead("text").over(after).alias("next_text"), F.lead("keys").over(after).alias("next_keys")).where("not border")
+    pairs = blocks.select("*", F.lead("text").over(after).alias("next_text"), F.lead("own").over(after).alias("next")).where("not border")
     cut = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - cut), F.substr("next_text", F.lit(1), cut))
-    made = pairs.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "keys", "next_keys", let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), digests(e).alias("keys"))).alias("e"))
-    return made.select(
+    found = with_difference(pairs.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "own", edited.alias("edited"), "next"), "own", "next", "n").drop("next")
+    found = with_table(found.withColumn("keys", digests(F.col("edited"))), "keys", "e").drop("keys")
+    found = with_difference(found, "own", "e", "d")
+    return found.select(
         "doc_id",
         "n_chars",
-        F.col("e.sha").alias("edited_sha256"),
-        fingerprint(F.col("keys")).alias("fingerprint"),
-        fingerprint(F.col("e.keys")).alias("edited_fingerprint"),
-        likeness(F.col("keys"), F.col("e.keys")).alias("near_edited"),
-        likeness(F.col("keys"), F.col("next_keys")).alias("near_next"),
-        F.size("keys").alias("n_paragraphs"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("own")).alias("fingerprint"),
+        as_text(F.col("e")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("d")).alias("near_edited"),
+        likeness(F.col("own"), F.col("n")).alias("near_next"),
+        F.size("own.keys").alias("n_paragraphs"),
+        F.sort_array("d.removed").alias("removed"),
+        F.sort_array("d.added").alias("added"),
     )

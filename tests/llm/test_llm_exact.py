@@ -62,6 +62,13 @@ def test_components(spark):
     assert {r["label"] for r in graph.components(chain).collect()} == {0}
 
 
+def unpack(print_: str) -> tuple[int, dict]:
+    """A fingerprint's size, and its cells (count, digests) by number."""
+    sub, *cells = print_.split()
+    signed = lambda x: (v := int(x, 16)) - (1 << 64 if v >> 63 else 0)
+    return int(sub), {int(c, 16): (signed(n), signed(k)) for c, n, k in (x.split(":") for x in cells)}
+
+
 def test_fingerprints_match_sets(spark, sf_dir, docs, monkeypatch):
     monkeypatch.setattr(iblt, "BLOCK_ROWS", 20)
     got = {r["doc_id"]: r for r in queries.op4_iblt(spark, sf_dir).collect()}
@@ -76,13 +83,56 @@ def test_fingerprints_match_sets(spark, sf_dir, docs, monkeypatch):
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert r["near_edited"] == pytest.approx(like(pieces(t), pieces(edited))) and r["near_next"] == pytest.approx(like(pieces(t), pieces(after)))
         assert seen.setdefault(t, r["fingerprint"]) == r["fingerprint"]
+        assert len(r["removed"]) == len(pieces(t) - pieces(edited)) and len(r["added"]) == len(pieces(edited) - pieces(t))
+
+
+def test_likeness_is_that_of_the_printed_fingerprints(spark, sf_dir):
+    """Peel the two strings alone, cell by cell, with the table's hashes taken from Spark."""
+    rows = queries.op4_iblt(spark, sf_dir).collect()[:60]
+    own = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(iblt.digests(F.col("text"))))
+    keys = sorted({r[0] for r in own.collect()} | {k for r in rows for k in r["added"]})
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    hashes = {r["k"]: (r["c"], r["h"]) for r in df.select("k", (iblt._checked(F.col("k")) == F.col("k")).alias("c"), F.array(*[F.xxhash64("k", F.lit(j)) for j in range(3)]).alias("h")).collect()}
+
+    def given_back(cells: dict, sub: int) -> set:
+        cells, out, todo = {c: list(x) for c, x in cells.items()}, set(), True
+        while todo:
+            todo = [(k, n) for c, (n, k) in cells.items() if abs(n) == 1 and k in hashes and hashes[k][0] and (hashes[k][1][c % 3] & (sub - 1)) * 3 + c % 3 == c]
+            for k, n in dict(todo).items():
+                out.add((k, n))
+                for j in range(3):
+                    x = cells.setdefault((hashes[k][1][j] & (sub - 1)) * 3 + j, [0, 0])
+                    x[0], x[1] = x[0] - n, x[1] ^ k
+            cells = {c: x for c, x in cells.items() if x != [0, 0]}
+        assert not cells
+        return out
+
+    for r in rows:
+        (s, a), (z, b) = unpack(r["fingerprint"]), unpack(r["edited_fingerprint"])
+        mine, other = given_back(a, s), given_back(b, z)
+        assert all(n == 1 for _, n in mine | other) and len(mine) == r["n_paragraphs"]
+        assert r["near_edited"] == pytest.approx(len(mine & other) / len(mine | other) if mine | other else 1.0)
+        assert {k for k, _ in mine - other} == set(r["removed"]) and {k for k, _ in other - mine} == set(r["added"])
 
 
 def test_peeling_recovers_the_difference(spark):
-    a, b = [f"p{i}" for i in range(40)], [f"p{i}" for i in range(30)] + [f"q{i}" for i in range(5)]
-    df = spark.createDataFrame([("\n".join(a), "\n".join(b)), ("", "x"), ("same\nline", "same\nline")], "a string, b string")
-    got = df.select(iblt.difference(iblt.digests(F.col("a")), iblt.digests(F.col("b"))).alias("d")).collect()
-    assert [r["d"] for r in got] == [15, 1, 0]
+    long = [f"p{i}" for i in range(3000)]
+    rows = [([f"p{i}" for i in range(40)], [f"p{i}" for i in range(30)] + [f"q{i}" for i in range(5)]), ([], ["x"]), (["same", "line"], ["line", "same"]), (long, long[7:] + ["z"]), (long, []), ([], []), (["a"], long)]
+    df = spark.createDataFrame([(i, "\n".join(a), "\n".join(b)) for i, (a, b) in enumerate(rows)], "i int, a string, b string")
+    df = df.select("i", iblt.digests(F.col("a")).alias("a"), iblt.digests(F.col("b")).alias("b"))
+    got = iblt.with_difference(iblt.with_table(iblt.with_table(df, "a", "x"), "b", "y"), "x", "y", "d").orderBy("i").collect()
+    for r in got:
+        assert set(r["d"]["removed"]) == set(r["a"]) - set(r["b"]) and set(r["d"]["added"]) == set(r["b"]) - set(r["a"])
+        assert len(r["d"]["removed"]) + len(r["d"]["added"]) == len(set(r["a"]) ^ set(r["b"]))
+
+
+def test_tables_that_do_not_peel_are_made_larger(spark, monkeypatch):
+    monkeypatch.setattr(iblt, "_room", lambda n: F.lit(4).cast("bigint"))
+    df = spark.createDataFrame([("\n".join(f"p{k}-{i}" for i in range(12)), "\n".join(f"p{k}-{i}" for i in range(5, 17))) for k in range(40)], "a string, b string")
+    df = df.select(iblt.digests(F.col("a")).alias("a"), iblt.digests(F.col("b")).alias("b"))
+    got = iblt.with_difference(iblt.with_table(iblt.with_table(df, "a", "x"), "b", "y"), "x", "y", "d").collect()
+    assert {r["x"]["sub"] for r in got} == {4, 32}
+    assert all(set(r["x"]["keys"]) == set(r["a"]) and set(r["d"]["removed"]) == set(r["a"]) - set(r["b"]) for r in got)
 
 
 def test_blocks_count_bounds(spark):
