@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.common import let
 
+STRIDE = 64  # texts whose lengths are summed at once for the offsets
 TURN, TEXT, PART, END, GLUE = "<|turn|>", "<|text|>", "<|part|>", "<|end|>", "\n"
 
 
@@ -62,31 +63,28 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     def block_text(b: Column) -> Column:
         return F.concat(F.lit(TURN), escape(b["role"]), F.lit(TEXT), F.array_join(b["texts"], PART), F.lit(END))
 
-    def spans(bs: Column) -> Column:
-        """Starts and lengths of the learnt texts, by a running offset over all texts."""
-        empty = F.array().cast("array<struct<start:bigint,length:bigint>>")
+    def widths(bs: Column) -> Column:
+        """For each text its own length, its length with the marks before it, and whether it is learnt."""
         length = lambda c: F.length(c).cast("bigint")
+        first = lambda b, k: F.when(k > 0, F.lit(len(END) + len(GLUE))).otherwise(F.lit(0)) + F.lit(len(TURN) + len(TEXT)) + length(escape(b["role"]))
+        one = lambda b, k: F.transform(
+            b["texts"], lambda x, i: F.struct(length(x).alias("length"), (length(x) + F.when(i == 0, first(b, k)).otherwise(F.lit(len(PART)))).alias("width"), (b["role"] == learn).alias("learnt"))
+        )
+        return F.flatten(F.transform(bs, one))
 
-        def over_block(acc: Column, b: Column) -> Column:
-            head = acc["at"] + F.lit(len(TURN) + len(TEXT)) + length(escape(b["role"]))
-            inner = F.aggregate(
-                b["texts"],
-                F.struct(head.alias("at"), acc["spans"].alias("spans")),
-                lambda a, x: F.struct(
-                    (a["at"] + length(x) + F.lit(len(PART))).alias("at"),
-                    F.when(b["role"] == learn, F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), length(x).alias("length"))))).otherwise(a["spans"]).alias("spans"),
-                ),
-            )
-            return let(inner, lambda r: F.struct((r["at"] - F.lit(len(PART)) + F.lit(len(END) + len(GLUE))).alias("at"), r["spans"].alias("spans")))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda x, y: x + y)
 
-        return F.aggregate(bs, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans")), over_block, lambda a: a["spans"])
+    def spans(texts: Column, bases: Column) -> Column:
+        """Starts and lengths of the learnt texts: the sum of all strides before, and of the widths in the text's own."""
+        end = lambda i: F.get(bases, F.floor(i / STRIDE).cast("int")) + total(F.slice(texts["width"], i - i % STRIDE + 1, i % STRIDE + 1))
+        every = F.transform(texts, lambda x, i: F.when(x["learnt"], F.struct((end(i) - x["length"]).alias("start"), x["length"].alias("length"))))
+        return F.filter(every, lambda s: s.isNotNull())
 
-    return blocks.select(
-        "conv_id",
-        F.size("bs").cast("bigint").alias("n_blocks"),
-        F.array_join(F.transform("bs", block_text), GLUE).alias("formatted"),
-        spans(F.col("bs")).alias("loss_mask"),
-    )
+    made = blocks.select("conv_id", F.size("bs").cast("bigint").alias("n_blocks"), F.array_join(F.transform("bs", block_text), GLUE).alias("formatted"), widths(F.col("bs")).alias("texts"))
+    strides = F.transform(F.sequence(F.lit(0), F.floor((F.size("texts") - 1) / STRIDE).cast("int")), lambda c: total(F.slice(F.col("texts")["width"], c * STRIDE + 1, STRIDE)))
+    made = made.withColumn("strides", strides)
+    made = made.withColumn("bases", F.transform("strides", lambda _, c: total(F.slice("strides", 1, c))))
+    return made.select("conv_id", "n_blocks", "formatted", spans(F.col("texts"), F.col("bases")).alias("loss_mask"))
 
 
 def parse_chats(formatted: Column) -> Column:

@@ -7,12 +7,12 @@ mean over all its windows, by bytes.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +25,8 @@ DIMS = 12
 SAMPLE = 1200  # labelled rows a language, about: the bound of the training sample
 PIECES = 3  # pieces of a row that training takes
 PIECE_CHARS = 300
-_LETTER = re.compile(r"[^\W\d_]")
+LANGS = 1000  # languages that are learned at most, those with most rows: labels may be dirty
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -153,9 +154,9 @@ class Scorer:
 
 
 def sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, rows: int = SAMPLE) -> tuple[list[bytes], list[int], list[str]]:
-    """Pieces of about `rows` documents of each language, chosen by hash; the sample is bounded by rows, languages and PIECES * PIECE_CHARS."""
+    """Pieces of about `rows` documents of each language, chosen by hash; the sample is bounded by rows, LANGS and PIECES * PIECE_CHARS."""
     able = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in able.groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in able.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGS).collect()}
     if not counts:
         return [], [], []
     key = F.xxhash64(id_col, text_col, F.lit("sample"))

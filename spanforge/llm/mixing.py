@@ -37,24 +37,27 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 200, tol: float = 1e-9) -> np.ndarray:
-    """Shares (sum 1) of a contingency table whose marginals meet the targets; cells without tokens stay empty.
+def _sums(values: np.ndarray, at: list[np.ndarray], goals: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums of the cells' values by category, for each axis."""
+    return [np.bincount(i, values, len(g)) for i, g in zip(at, goals, strict=True)]
 
-    targets: for each axis the shares of its categories. Those of categories without tokens are spread over the others.
+
+def rake(tokens: np.ndarray, at: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, tol: float = 1e-9) -> np.ndarray:
+    """Shares (sum 1) of the cells whose marginals meet the targets; cells without tokens stay empty.
+
+    at: for each axis the cells' categories; targets: for each axis the shares of its categories. Those of categories
+    without tokens are spread over the others. Only cells that exist are held, however many categories there are.
     """
     shares = tokens / tokens.sum()
     for _ in range(rounds):
         off = 0.0
         for axis, goal in enumerate(targets):
-            others = tuple(i for i in range(shares.ndim) if i != axis)
-            have = shares.sum(others)
+            have = np.bincount(at[axis], shares, len(goal))
             goal = np.where(have > 0, goal, 0.0)
             goal = goal / goal.sum()
             ratio = np.divide(goal, have, out=np.zeros_like(goal), where=have > 0)
             off = max(off, np.abs(goal - have).max())
-            shape = [1] * shares.ndim
-            shape[axis] = -1
-            shares = shares * ratio.reshape(shape)
+            shares = shares * ratio[at[axis]]
         if off < tol:
             break
     return shares
@@ -94,7 +97,7 @@ def _bounded(tokens: np.ndarray, at: list[np.ndarray], goals: list[np.ndarray],
     return taken, off
 
 
-def probabilities(tokens: np.ndarray, targets: list[np.ndarray], budget: float = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+def probabilities(tokens: np.ndarray, at: list[np.ndarray], targets: list[np.ndarray], budget: float = BUDGET) -> tuple[np.ndarray, np.ndarray]:
     """(weight, probability) of each cell: raked share over own share, and the chance that brings the sample there.
 
     The sample aims at budget as a share of all tokens. Where no cell needs more than all its tokens for that, chances
@@ -102,27 +105,27 @@ def probabilities(tokens: np.ndarray, targets: list[np.ndarray], budget: float =
     the targets cannot be met is lowered to the largest at which they are, with a warning. Targets that no sample
     meets, as cells without tokens stand against them, are warned of too, and chances are in proportion to weights.
     """
-    shares = rake(tokens, targets)
+    shares = rake(tokens, at, targets)
     own = tokens / tokens.sum()
     weight = np.divide(shares, own, out=np.zeros_like(shares), where=own > 0)
     sure = 1 / weight.max()
     if budget <= sure:
         return weight, np.minimum(1.0, weight * budget)
-    cells = np.nonzero(tokens)
-    at, have = list(cells), [tokens.sum(tuple(j for j in range(tokens.ndim) if j != i)) for i in range(tokens.ndim)]
+    some = np.flatnonzero(tokens)
+    have = _sums(tokens, at, targets)
     goals = [np.where(h > 0, g, 0.0) for g, h in zip(targets, have, strict=True)]
     goals = [g / g.sum() for g in goals]
-    if max(np.abs(shares.sum(tuple(j for j in range(shares.ndim) if j != i)) - g).max() for i, g in enumerate(goals)) > MET:
+    if max(np.abs(s - g).max() for s, g in zip(_sums(shares, at, goals), goals, strict=True)) > MET:
         warnings.warn("no sample meets the targets of all dimensions; the nearest raking is scaled to its scarcest cell", stacklevel=2)
         return weight, np.minimum(1.0, weight * sure)
     most = min([budget, *((h[g > 0] / g[g > 0]).min() / tokens.sum() for g, h in zip(goals, have, strict=True))])
     chance, low, high = np.minimum(1.0, weight * sure), sure, most
     for k in range(16):
         size = high if k == 0 else (low + high) / 2
-        taken, off = _bounded(tokens[cells], at, [g * size * tokens.sum() for g in goals])
+        taken, off = _bounded(tokens[some], [i[some] for i in at], [g * size * tokens.sum() for g in goals])
         if off < MET:
             chance = np.zeros_like(tokens)
-            chance[cells] = taken / tokens[cells]
+            chance[some] = taken / tokens[some]
             low = size
             if k == 0:
                 break
@@ -134,13 +137,14 @@ def probabilities(tokens: np.ndarray, targets: list[np.ndarray], budget: float =
     return weight, chance
 
 
-def _categories(docs: DataFrame, source_col: str, lang_col: str, text_col: str) -> list[Column]:
-    return [F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), topic_of(F.col(text_col)).alias("topic")]
+def _categories(source_col: str, lang_col: str, text_col: str, topic: Column | None) -> list[Column]:
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return [text(F.col(source_col)).alias("source"), text(F.col(lang_col)).alias("lang"), (topic_of(F.col(text_col)) if topic is None else text(topic)).alias("topic")]
 
 
-def cells(docs: DataFrame, source_col: str = "source", lang_col: str = "lang", text_col: str = "text") -> list[tuple[str, str, str, int, int]]:
+def cells(docs: DataFrame, source_col: str = "source", lang_col: str = "lang", text_col: str = "text", topic: Column | None = None) -> list[tuple[str, str, str, int, int]]:
     """(source, lang, topic, documents, tokens) over all documents; at most MAX_CELLS rows come to the driver."""
-    rows = docs.select(*_categories(docs, source_col, lang_col, text_col), F.size(words_of(F.col(text_col))).cast("long").alias("tokens"))
+    rows = docs.select(*_categories(source_col, lang_col, text_col, topic), F.size(words_of(F.col(text_col))).cast("long").alias("tokens"))
     found = rows.groupBy(*DIMS).agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")).limit(MAX_CELLS + 1).collect()
     if len(found) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells of source, language and topic; use coarser sources")
@@ -151,9 +155,8 @@ def calibrate(found: list[tuple[str, str, str, int, int]], targets: dict[str, di
     """(source, lang, topic, weight, probability) of each cell. A dimension without targets gets its tempered shares."""
     names = [sorted({c[i] for c in found}) for i in range(3)]
     index = [{n: k for k, n in enumerate(x)} for x in names]
-    tokens = np.zeros([len(n) for n in names])
-    for c in found:
-        tokens[tuple(index[i][c[i]] for i in range(3))] += c[4]
+    at = [np.array([index[i][c[i]] for c in found], np.intp) for i in range(3)]
+    tokens = np.array([c[4] for c in found], float)
     if not tokens.sum():
         return [(*c[:3], 0.0, 0.0) for c in found]
     goals = []
@@ -161,13 +164,11 @@ def calibrate(found: list[tuple[str, str, str, int, int]], targets: dict[str, di
         absent = sorted(n for n, x in (targets or {}).get(dim, {}).items() if x and n not in index[i])
         if absent:
             warnings.warn(f"targets of {dim} without documents are spread over the others: {', '.join(absent)}", stacklevel=2)
-        have = tokens.sum(tuple(j for j in range(3) if j != i))
+        have = np.bincount(at[i], tokens, len(names[i]))
         goal = np.array([(targets or {}).get(dim, {}).get(n, 0.0) for n in names[i]]) if (targets or {}).get(dim) else (have / have.sum()) ** TEMPER * (have > 0)
         goals.append(goal / goal.sum())
-    weight, chance = probabilities(tokens, goals, budget)
-    return [(*c[:3], float(weight[at]), float(chance[at])) for c in found for at in [tuple(index[i][c[i]] for i in range(3))]]
-
-
+    weight, chance = probabilities(tokens, at, goals, budget)
+    return [(*c[:3], float(w), float(p)) for c, w, p in zip(found, weight, chance, strict=True)]
 
 
 def _drawn(id_col: str, text_col: str, seed: int) -> Column:
@@ -176,15 +177,16 @@ def _drawn(id_col: str, text_col: str, seed: int) -> Column:
     return F.pmod(h, F.lit(_SCALE)) / F.lit(float(_SCALE))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", text_col: str = "text", *, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", text_col: str = "text", *, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, seed: int = 17, topic: Column | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability and sampled of every document.
 
-    targets: shares by category for any of source, lang and topic. Null sources and languages are the category "".
+    targets: shares by category for any of source, lang and topic; topic: the column to take topics from, by default
+    the marks that topic_of finds in a text. Null sources, languages and topics are the category "".
     Documents without tokens have weight and probability 0 in a cell of such documents only. Equal ids draw equally,
     so repeated rows go together. Other columns are ignored; an empty table gives an empty result.
     """
-    table = calibrate(cells(docs, source_col, lang_col, text_col), targets, budget)
-    rows = docs.select(F.col(id_col).alias("doc_id"), *_categories(docs, source_col, lang_col, text_col), F.size(words_of(F.col(text_col))).cast("long").alias("n_tokens"), _drawn(id_col, text_col, seed).alias("draw"))
+    table = calibrate(cells(docs, source_col, lang_col, text_col, topic), targets, budget)
+    rows = docs.select(F.col(id_col).alias("doc_id"), *_categories(source_col, lang_col, text_col, topic), F.size(words_of(F.col(text_col))).cast("long").alias("n_tokens"), _drawn(id_col, text_col, seed).alias("draw"))
     if not table:
         return rows.select("doc_id", *DIMS, "n_tokens", F.lit(0.0).alias("weight"), F.lit(0.0).alias("probability"), F.lit(False).alias("sampled"))
     spark = docs.sparkSession
@@ -192,12 +194,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", lan
     return rows.join(found, list(DIMS)).select("doc_id", *DIMS, "n_tokens", "weight", "probability", (F.col("draw") < F.col("probability")).alias("sampled"))
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", text_col: str = "text", *, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, seed: int = 17) -> DataFrame:
-    """The sampled documents, with their columns as they are."""
-    table = calibrate(cells(docs, source_col, lang_col, text_col), targets, budget)
+def sample(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", text_col: str = "text", *, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, seed: int = 17, topic: Column | None = None) -> DataFrame:
+    """The sampled documents, with their columns as they are.
+
+    Parameters and nulls are as in mix. Equal ids draw equally, so repeated rows stay or go together; documents without
+    tokens go. An empty table gives an empty result.
+    """
+    table = calibrate(cells(docs, source_col, lang_col, text_col, topic), targets, budget)
     if not table:
         return docs
     found = docs.sparkSession.createDataFrame([(s, g, t, p) for s, g, t, _, p in table], "__source string, __lang string, __topic string, __chance double")
-    keyed = docs.withColumns(dict(zip(("__s", "__l", "__t"), _categories(docs, source_col, lang_col, text_col), strict=True)))
+    keyed = docs.withColumns(dict(zip(("__s", "__l", "__t"), _categories(source_col, lang_col, text_col, topic), strict=True)))
     joined = keyed.join(F.broadcast(found), (F.col("__s") == F.col("__source")) & (F.col("__l") == F.col("__lang")) & (F.col("__t") == F.col("__topic")))
     return joined.where(_drawn(id_col, text_col, seed) < F.col("__chance")).select(*docs.columns)

@@ -8,10 +8,10 @@ size bounded by the capacity alone, and pieces find their places by their rank w
 
 from __future__ import annotations
 
-import base64
 import bisect
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -141,21 +141,42 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Run], i
     return runs, bins
 
 
-def _pieces(ranks: bytes, pattern: str, capacity: int):
+def encoder(vocabulary: bytes, pattern: str) -> Callable[[str], list[int]]:
+    """Ids of a text by a byte-level BPE tokenizer's JSON file, as the tokenizers library gives them.
+
+    The merges run in a faster engine, whose ranks are the file's ids; the file's added tokens are found in texts as they
+    stand. Merge order must be that of the ids, as it is in files that were trained so.
+    """
+    import tiktoken
+
+    spec = json.loads(vocabulary)
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
+    bytes_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    ranks = {bytes(bytes_of[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in added}
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+
+    def encode(text: str) -> list[int]:
+        if any(t in text for t in added):
+            return encoding.encode(text, allowed_special="all")
+        return encoding.encode_ordinary(text)
+
+    return encode
+
+
+def _pieces(vocabulary: bytes, pattern: str, capacity: int):
     """Token ids of each text, cut into pieces; each piece knows its place among those of its length in its partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import tiktoken
         from pyspark import TaskContext
 
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        encode = encoder(vocabulary, pattern)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.array(encoding.encode_ordinary(text or ""), "<u4")
+                ids = np.array(encode(text or ""), "<u4")
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                 first = len(ids) % capacity or capacity
                 start, end, piece = 0, min(first, len(ids)), 0
@@ -172,8 +193,8 @@ def _pieces(ranks: bytes, pattern: str, capacity: int):
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """Place every document's tokens in sequences of at most capacity tokens.
 
-    vocabulary: a rank file (the same ids as the tokenizer of that name), read on the driver; pattern splits text
-    before merges. A document is its ids and END_ID; one that is longer than capacity is cut, its first piece taking
+    vocabulary: a tokenizer's JSON file, read on the driver; pattern is what it splits text by before merges. A document
+    is its ids (those of the file's added tokens where their strings stand in a text) and END_ID; one that is longer than capacity is cut, its first piece taking
     the remainder. Returns doc_id, piece, start, length, ids_crc32, sequence_id and offset for every piece. A null or
     empty text is END_ID alone; repeated rows are packed as often as they occur, null ids stay null, other columns are
     ignored, and an empty table gives no pieces.
@@ -182,18 +203,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, cap
 
     spark = docs.sparkSession
     small_batches(spark)
-    with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = f.read()
+    with open(vocabulary or public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        tokenizer = f.read()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
-    pieces = written(rows.mapInPandas(_pieces(ranks, pattern or public_tokenizers.PATTERN, capacity), schema), "pieces")
+    pieces = written(rows.mapInPandas(_pieces(tokenizer, pattern or public_tokenizers.PATTERN, capacity), schema), "pieces")
     local = written(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in local.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     runs, _ = plan(counts, capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = local.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     placed = spark.createDataFrame(runs, "length long, first long, many long, bin long, per long, at long")
-    ranked = pieces.join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth")).alias("p")
+    ranked = pieces.join(base.hint("merge"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth")).alias("p")
     here = (F.col("p.length") == F.col("r.length")) & (F.col("p.rank") >= F.col("r.first")) & (F.col("p.rank") < F.col("r.first") + F.col("r.many"))
     k = F.col("rank") - F.col("first")
     return ranked.join(F.broadcast(placed.alias("r")), here).select(

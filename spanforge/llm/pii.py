@@ -8,6 +8,7 @@ spans always stay; the classifier decides on candidates beyond them.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -34,13 +35,13 @@ _DIGIT = re.compile(r"[0-9]")
 
 #: Candidates beyond the base patterns. Texts without a match of the second pattern, which is cheaper, have none of the third.
 _LOOSE: list[tuple[str, re.Pattern[str] | None, re.Pattern[str]]] = [
-    ("email", re.compile(r"[(\[\x20]at[)\]\x20]", re.I), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{2,63}){1,4}", re.I)),
+    ("email", re.compile(r"[(\[\x20]at[)\]\x20]", re.I), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]+(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{2,})+", re.I)),
     ("phone", _DIGIT, re.compile(r"(?<![\w+.-])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![\w-])")),
     ("card", _DIGIT, re.compile(r"(?<![\w.-])(?:(?:[0-9]{4}[\x20-]){3}[0-9]{4}|[0-9]{13,19})(?![\w-])")),
     ("ip", _DIGIT, re.compile(r"(?<![\w.])[0-9]{1,4}(?:\.[0-9]{1,4}){3}(?![\w.])")),
     ("ssn", _DIGIT, re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
-    ("secret", None, re.compile(r"(?:password|passwd|token|secret|api[_-]?key)\x20?[=:]\x20?\x22?([A-Za-z0-9_/+-]{12,128})\x22?", re.I)),
-    ("name", None, re.compile(r"(?:Mr|Mrs|Ms|Dr)\.\x20[A-Z][a-z]{1,20}(?:\x20[A-Z][a-z]{1,20})?")),
+    ("secret", None, re.compile(r"(?:password|passwd|token|secret|api[_-]?key)\x20?[=:]\x20?\x22?([A-Za-z0-9_/+-]{12,})\x22?", re.I)),
+    ("name", None, re.compile(r"(?:Mr|Mrs|Ms|Dr)\.\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?")),
 ]
 
 #: Fixed values of the gazetteer labeler: words and endings that go with a kind.
@@ -114,12 +115,23 @@ def base_spans(text: str) -> list[Span]:
 def _loose_spans(text: str, base: list[Span]) -> list[Span]:
     """Candidates beyond the base spans, none overlapping another or one of those."""
     found: list[Span] = []
+    starts: list[int] = []  # what is taken, in order, without overlaps
+    ends: list[int] = []
+    for _, s, e in sorted(base, key=lambda x: x[1]):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for kind, needs, pattern in _LOOSE:
         if needs is not None and not needs.search(text):
             continue
         for m in pattern.finditer(text):
             s, e = m.span()
-            if all(e <= b or s >= c for _, b, c in base) and all(e <= b or s >= c for _, b, c in found):
+            at = bisect.bisect_right(ends, s)  # the first that ends after s
+            if at == len(ends) or starts[at] >= e:
+                starts.insert(at, s)
+                ends.insert(at, e)
                 found.append((kind, s, e))
     return found
 

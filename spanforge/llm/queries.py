@@ -130,29 +130,35 @@ def _distance(counts: str, reference: str) -> str:
     return f"CASE WHEN list_sum({counts}) > 0 THEN sqrt(greatest(list_sum(list_transform(range(1, len({counts}) + 1), lambda i: {half(p, q)} + {half(q, p)})) / (2 * ln(2)), 0)) END"
 
 
-#: Counts by lists and joins; references and distances from the counts.
+def _bins() -> str:
+    """Counts of the character classes: what each removal in turn takes from the text."""
+    classes = [r"\p{Ll}", r"\p{Lu}", _BLANK[1:-1], r".,\x{060C}\x{06D4}\x{0964}\x{0965}\x{3001}\x{3002}\x{FF0C}\x{FF0E}",
+        r";:!?''\x22()\x{061B}\x{061F}\x{05BE}\x{05F3}\x{05F4}\x{3008}-\x{300F}\x{30FB}\x{FF01}\x{FF08}\x{FF09}\x{FF1A}\x{FF1B}\x{FF1F}-", r"\p{Nd}", r"\p{L}\p{M}\x{200C}\x{200D}"]
+    left = ["t"]
+    for c in classes:
+        left.append(f"regexp_replace({left[-1]}, '[{c}]+', '', 'g')")
+    sizes = [f"length({x})" for x in left]
+    return "[" + ", ".join([f"{a} - {b}" for a, b in zip(sizes, sizes[1:], strict=False)] + [sizes[-1]]) + "]"
+
+
+#: Counts by lists and joins; references and distances from the counts. Digits count with small letters in distances.
 OP9_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_filter(regexp_split_to_array(t, '{_BLANK}+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	
-]')) AS ls FROM d),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '{_BLANK}+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\x0c\r]')) AS ls FROM d),
 g AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM w),
 v AS (SELECT r, count(DISTINCT i + k) AS n FROM g SEMI JOIN (SELECT r, g FROM g GROUP BY r, g HAVING count(*) > 1) USING (r, g), (VALUES (0), (1), (2)) x(k) GROUP BY r),
 k AS (SELECT w.r, doc_id, lang, length(t) AS n, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
-    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words,
-    [length(regexp_replace(t, '[^\p{{Ll}}0-9]+', '', 'g')), length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')), length(regexp_replace(t, '[^ 	
-]+', '', 'g')),
-     length(regexp_replace(t, '[^.,]+', '', 'g')), length(regexp_replace(t, '[^;:!?''"()-]+', '', 'g')),
-     length(regexp_replace(t, '[\p{{Ll}}0-9\p{{Lu}} 	
-.,;:!?''"()-]+', '', 'g'))] AS cs,
-    [{_WORD_COUNTS}] AS fs FROM w LEFT JOIN v USING (r)),
-c AS (SELECT *, list_append(fs, n_words - list_sum(fs)) AS wc FROM k),
-s AS (SELECT lang, i, sum(cs[i]) AS x FROM c, range(1, 7) t(i) WHERE cs[6] * 100 <= list_sum(cs) AND cs[2] * 5 <= list_sum(cs) GROUP BY lang, i),
-u AS (SELECT lang, i, sum(wc[i]) AS x FROM c, range(1, {len(quality.COMMON_WORDS) + 2}) t(i) WHERE cs[6] * 100 <= list_sum(cs) AND cs[2] * 5 <= list_sum(cs) GROUP BY lang, i),
-f AS (SELECT a.lang, rc, rw FROM (SELECT lang, list(x ORDER BY i) AS rc FROM s GROUP BY lang) a JOIN (SELECT lang, list(x ORDER BY i) AS rw FROM u GROUP BY lang) b ON a.lang IS NOT DISTINCT FROM b.lang WHERE list_sum(rc) > 0 AND list_sum(rw) > 0),
-n AS (SELECT r, min({_distance("cs", "rc")}) AS dc, min({_distance("wc", "rw")}) AS dw FROM c, f GROUP BY r),
-o AS (SELECT c.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_SHARE} * n_words AS base_failed, dc, dw FROM c LEFT JOIN n USING (r))
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words, {_bins()} AS ks, [{_WORD_COUNTS}] AS fs FROM w LEFT JOIN v USING (r)),
+c AS (SELECT *, [ks[1] + ks[6], ks[2], ks[3], ks[4], ks[5], ks[7], ks[8]] AS cs, list_append(fs, n_words - list_sum(fs)) AS wc FROM k),
+s AS (SELECT lang, i, sum(cs[i]) AS x FROM c, range(1, 8) t(i) WHERE ks[8] * 100 <= list_sum(ks) AND ks[2] * 5 <= list_sum(ks) GROUP BY lang, i),
+u AS (SELECT lang, i, sum(wc[i]) AS x FROM c, range(1, {len(quality.COMMON_WORDS) + 2}) t(i) WHERE ks[8] * 100 <= list_sum(ks) AND ks[2] * 5 <= list_sum(ks) GROUP BY lang, i),
+a AS (SELECT b.lang, rc, rw, rw[-1] / list_sum(rw) AS rest FROM (SELECT lang, list(x ORDER BY i) AS rc FROM s GROUP BY lang) b JOIN (SELECT lang, list(x ORDER BY i) AS rw FROM u GROUP BY lang) e ON b.lang IS NOT DISTINCT FROM e.lang WHERE list_sum(rc) > 0 AND list_sum(rw) > 0),
+f AS (SELECT *, 1 - rest >= {quality.COMMON_SHARE} AS telling, bool_or(1 - rest >= {quality.COMMON_SHARE}) OVER () AS any_telling,
+    CASE WHEN 1 - rest < {quality.COMMON_SHARE} THEN {quality.WORD_DISTANCE} ELSE least({quality.WORD_DISTANCE}, {quality.WORD_MARGIN} * sqrt(((1 - rest) + log2(2 / (1 + rest)) + CASE WHEN rest > 0 THEN rest * log2(2 * rest / (1 + rest)) ELSE 0 END) / 2)) END AS word_limit FROM a),
+n AS (SELECT r, bool_or(coalesce({_distance("cs", "rc")}, 0) <= {quality.CLASS_DISTANCE} AND coalesce({_distance("wc", "rw")}, 0) <= word_limit AND (telling OR NOT any_telling OR c.lang IS NOT DISTINCT FROM f.lang)) AS near FROM c, f GROUP BY r),
+o AS (SELECT c.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_SHARE} * n_words AS base_failed, coalesce(near, true) AND ks[6] * 100 <= {quality.DIGIT_SHARE} * list_sum(ks) AS near FROM c LEFT JOIN n USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (n_words >= {quality.GUARD_WORDS} AND n >= {quality.GUARD_CHARS} AND (coalesce(dc, 0) > {quality.CLASS_DISTANCE} OR coalesce(dw, 0) > {quality.WORD_DISTANCE})) AS kept
+  NOT base_failed AND (n_words < {quality.GUARD_WORDS} OR n < {quality.GUARD_CHARS} OR near) AS kept
 FROM o
 """
 

@@ -127,11 +127,11 @@ def test_peeling_recovers_the_difference(spark):
 
 
 def test_tables_that_do_not_peel_are_made_larger(spark, monkeypatch):
-    monkeypatch.setattr(iblt, "_room", lambda n: F.lit(4).cast("bigint"))
+    monkeypatch.setattr(iblt, "_room", lambda n: F.lit(8).cast("bigint"))
     df = spark.createDataFrame([("\n".join(f"p{k}-{i}" for i in range(12)), "\n".join(f"p{k}-{i}" for i in range(5, 17))) for k in range(40)], "a string, b string")
     df = df.select(iblt.digests(F.col("a")).alias("a"), iblt.digests(F.col("b")).alias("b"))
     got = iblt.with_difference(iblt.with_table(iblt.with_table(df, "a", "x"), "b", "y"), "x", "y", "d").collect()
-    assert {r["x"]["sub"] for r in got} == {4, 32}
+    assert {r["x"]["sub"] for r in got} == {8, 64}
     assert all(set(r["x"]["keys"]) == set(r["a"]) and set(r["d"]["removed"]) == set(r["a"]) - set(r["b"]) for r in got)
 
 
@@ -147,7 +147,6 @@ def test_packing_plan_is_sound_and_tight(spark, sf_dir, docs):
 
     rows = queries.op6_packing(spark, sf_dir).toPandas()
     hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    hf.encode_special_tokens = True
     assert (rows.length <= 2048).all()
     for seq in rows.groupby("sequence_id"):
         s = seq[1].sort_values("offset")
@@ -161,6 +160,24 @@ def test_packing_plan_is_sound_and_tight(spark, sf_dir, docs):
             assert x.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[x.start : x.start + x.length]))
 
 
+def test_ids_are_those_of_the_tokenizers_library(docs):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    hf = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        encode = packing.encoder(f.read(), public_tokenizers.PATTERN)
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
+    rng = random.Random(4)
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [*docs.text, *(f"a{chr(c)}a 1{chr(c)}1 {chr(c)} !{chr(c)}!" for c in rng.sample(points, 20_000)), "<|endoftext|>" * 3, " <|endoftext|>\n", "<|endoftext", "<|endoftext|><|endof"]
+    texts += ["".join(rng.choice(["<|endoftext|>", " ", "  ", "\n", "a", "'s", "12", "é", "日", "!", "\u00a0", "\x85"]) for _ in range(12)) for _ in range(3000)]
+    assert all(e.ids == encode(t) for e, t in zip(hf.encode_batch(texts, add_special_tokens=False), texts, strict=True))
+
+
 def test_reduction_costs_no_bin():
     import random
 
@@ -303,14 +320,43 @@ def test_raking_meets_the_marginals():
     rng = np.random.default_rng(0)
     tokens = rng.integers(1, 100, (4, 3, 2)).astype(float)
     goals = [np.array([0.4, 0.3, 0.2, 0.1]), np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.4])]
-    shares = mixing.rake(tokens, goals)
+    at = [x.ravel() for x in np.indices(tokens.shape)]
+    shares = mixing.rake(tokens.ravel(), at, goals).reshape(tokens.shape)
     for axis, goal in enumerate(goals):
         assert shares.sum(tuple(i for i in range(3) if i != axis)) == pytest.approx(goal)
-    weight, chance = mixing.probabilities(tokens, goals, 0.3)
+    weight, chance = (x.reshape(tokens.shape) for x in mixing.probabilities(tokens.ravel(), at, goals, 0.3))
     assert (chance <= 1).all() and (chance * tokens).sum() == pytest.approx(0.3 * tokens.sum())
     assert weight * tokens / tokens.sum() == pytest.approx(shares)
 
 
+def test_mixing_rows_are_those_of_a_dense_raking(spark):
+    """op5 against a raking of the dense tensor, scaled and bounded by another road: repeated clipping of the largest factor."""
+    import numpy as np
+
+    rows = queries.op5_mixing(spark, "/root/testdata/sf0.01").toPandas()
+    d = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").set_index("doc_id")
+    assert (rows.n_tokens.to_numpy() == [len(words(t)) for t in d.text[rows.doc_id]]).all()
+    assert (rows.source.to_numpy() == d.source[rows.doc_id].to_numpy()).all() and (rows.lang.to_numpy() == d.lang[rows.doc_id].to_numpy()).all()
+    names = [sorted(rows[c].unique()) for c in mixing.DIMS]
+    tensor = np.zeros([len(n) for n in names])
+    where = tuple(np.array([n.index(x) for x in rows[c]]) for n, c in zip(names, mixing.DIMS, strict=True))
+    np.add.at(tensor, where, rows.n_tokens)
+    shares = tensor / tensor.sum()
+    for _ in range(500):
+        for axis in range(3):
+            others = tuple(i for i in range(3) if i != axis)
+            goal = tensor.sum(others) ** mixing.TEMPER
+            have = shares.sum(others, keepdims=True)
+            shares = shares * np.divide((goal / goal.sum()).reshape(have.shape), have, out=np.zeros_like(have), where=have > 0)
+    weight = np.divide(shares, tensor / tensor.sum(), out=np.zeros_like(shares), where=tensor > 0)
+    assert rows.weight.to_numpy() == pytest.approx(weight[where], rel=1e-6)
+    drawn = rows[rows.sampled]
+    for c in mixing.DIMS:  # what is drawn comes near what is expected
+        want = (rows.n_tokens * rows.probability).groupby(rows[c]).sum()
+        got = drawn.n_tokens.groupby(drawn[c]).sum().reindex(want.index, fill_value=0)
+        assert np.abs(got / got.sum() - want / want.sum()).max() < 0.06
+
+
 def test_mixing_query(spark):
     got = queries.op5_mixing(spark, "/root/testdata/sf0.01").toPandas()
     assert got.sampled.sum() > 0 and abs(got.n_tokens[got.sampled].sum() / (got.n_tokens * got.probability).sum() - 1) < 0.1
