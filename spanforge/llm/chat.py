@@ -76,15 +76,15 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
 
     def spans(texts: Column, bases: Column) -> Column:
         """Starts and lengths of the learnt texts: the sum of all strides before, and of the widths in the text's own."""
-        end = lambda i: F.get(bases, F.floor(i / STRIDE).cast("int")) + total(F.slice(texts["width"], i - i % STRIDE + 1, i % STRIDE + 1))
+        end = lambda i: F.get(bases, F.floor(i / STRIDE).cast("int")) + total(F.slice(texts, i - i % STRIDE + 1, i % STRIDE + 1)["width"])
         every = F.transform(texts, lambda x, i: F.when(x["learnt"], F.struct((end(i) - x["length"]).alias("start"), x["length"].alias("length"))))
         return F.filter(every, lambda s: s.isNotNull())
 
     made = blocks.select("conv_id", F.size("bs").cast("bigint").alias("n_blocks"), F.array_join(F.transform("bs", block_text), GLUE).alias("formatted"), widths(F.col("bs")).alias("texts"))
-    strides = F.transform(F.sequence(F.lit(0), F.floor((F.size("texts") - 1) / STRIDE).cast("int")), lambda c: total(F.slice(F.col("texts")["width"], c * STRIDE + 1, STRIDE)))
+    strides = F.transform(F.sequence(F.lit(0), F.floor((F.size("texts") - 1) / STRIDE).cast("int")), lambda c: total(F.slice("texts", c * STRIDE + 1, STRIDE)["width"]))
     made = made.withColumn("strides", strides)
     made = made.withColumn("bases", F.transform("strides", lambda _, c: total(F.slice("strides", 1, c))))
-    return made.select("conv_id", "n_blocks", "formatted", spans(F.col("texts"), F.col("bases")).alias("loss_mask"))
+    return made.select("conv_id", "n_blocks", "formatted", let(F.col("texts"), lambda texts: let(F.col("bases"), lambda bases: spans(texts, bases))).alias("loss_mask"))
 
 
 def parse_chats(formatted: Column) -> Column:
@@ -101,8 +101,15 @@ def parse_chats(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, mask: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(mask, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped, nothing between. Spans are in order, so a stride of them is cut out first."""
+    cut = lambda t, start, n: F.substr(t, (start + 1).cast("int"), n.cast("int"))
+
+    def stride(spans: Column) -> Column:
+        first, last = F.get(spans, F.lit(0)), F.get(spans, F.size(spans) - 1)
+        return let(cut(formatted, first["start"], last["start"] + last["length"] - first["start"]), lambda t: F.array_join(F.transform(spans, lambda s: unescape(cut(t, s["start"] - first["start"], s["length"]))), ""))
+
+    strides = F.sequence(F.lit(0), F.floor((F.size(mask) - 1) / STRIDE).cast("int"))
+    return F.when(F.size(mask) == 0, F.lit("")).otherwise(F.array_join(F.transform(strides, lambda c: let(F.slice(mask, c * STRIDE + 1, STRIDE), stride)), ""))
 
 
 def read_back(chats: DataFrame) -> DataFrame:

@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 #: White space of a word boundary: space and the controls 9 to 13.
 SPACE = " \t\n\x0b\x0c\r"
+#: Tables that `written` has left in the shared folder.
+_PATHS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master gets a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spanforge-")
         spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else spark.sparkContext.setCheckpointDir(found)
     return found
@@ -28,9 +32,29 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, and a lost executor loses none of it."""
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and its path, for `dropped` when nothing reads it any more."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of the shared folder."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        if path in _PATHS:
+            _PATHS.remove(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this process has written and not dropped; to be called when no result that reads them is needed."""
+    dropped(spark, *list(_PATHS))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -49,6 +73,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
-    """Bound what a Python worker holds of its input at once: texts may be long, so a batch ends at its bytes too."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    """Bound what a Python worker holds of its input at once: texts may be long, so a batch ends at its bytes too.
+
+    Where the session or its context sets a bound of its own, that stays.
+    """
+    given = spark.conf.getAll
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if key not in given:
+            spark.conf.set(key, value)

@@ -1,15 +1,17 @@
 """Main-text extraction by scoring a page's tree.
 
-Paragraphs pass points for length and commas to their ancestors, discounted by link density. The best container is
-kept with those of its siblings that score well too; an article or main element around it is kept whole, link lists
-included, with the headings and article parts beside it. Boilerplate elements (by tag, role, class or id) are removed before scoring.
+Boilerplate elements (by tag, role, class or id) are removed. Paragraphs then pass points for length and commas to their
+container and, less at every level, to its ancestors; a container's score is discounted by its link density. Article
+elements count their points undiminished and main elements nearly so, as nothing in them is foreign: that is all that
+their names decide. The container with the best score is kept, with those of its siblings that score well too, and with
+headings beside it. Every step is linear in the page.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,11 +19,12 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.common import small_batches
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe noframes xmp noembed".split())
-_DROP = frozenset("script style noscript iframe head title nav footer aside form button select textarea input svg math template object embed canvas dialog menu noframes noembed label fieldset audio video map".split())
+_DROP = frozenset("script style noscript iframe head title nav footer aside form button select textarea input template dialog menu noframes noembed label fieldset".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -37,23 +40,33 @@ _ENDS = {
     "tr": frozenset({"tr", "tbody", "thead", "tfoot"}),
     "option": frozenset({"option"}),
 }
+#: For each tag, those of the open elements that end where it starts.
+_CLOSES = {tag: tuple(k for k, v in _ENDS.items() if tag in v) for tag in frozenset().union(*_ENDS.values())}
 _SCOPE = frozenset("table ul ol dl div section article main body html td th blockquote".split())
 #: Words in a class or id that mark what is not the article.
 _BAD = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side-bar|aside|nav|navbar|navigation|menu|breadcrumbs?|footer|foot|header|masthead|cookies?|notice|alert|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|comments?|disqus|respond|replies|related|recommended|widget|pagination|pager|login|toolbar|skip|hidden|copyright)(?:$|[\s_-])",
     re.I,
 )
+#: Words that tell reader comments and adverts among article elements.
+_BAD_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|reply|advert\w*|ads?|promo\w*|sponsor\w*|related|teaser)(?:$|[\s_-])", re.I)
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _SPACE = re.compile(r"\s+")
 
 
+DECAY = 0.75  # of points at every level upwards
+SHARE = 0.2  # of the best score, from which a sibling is kept
+NAMED = {"article": 1.0, "main": 0.97}  # of all points inside
+
+
 class _Node:
-    __slots__ = ("tag", "kids", "up", "bad", "named", "score", "chars", "linked")
+    __slots__ = ("tag", "kids", "up", "bad", "named", "own", "score", "points", "chars", "linked", "anchors")
 
     def __init__(self, tag: str, up: _Node | None, bad: bool = False, named: bool = False) -> None:
         self.tag, self.up, self.bad, self.named = tag, up, bad, named
         self.kids: list[_Node | str] = []
-        self.score, self.chars, self.linked = 0.0, 0, 0
+        self.own, self.score, self.points = 0.0, 0.0, 0.0
+        self.chars, self.linked, self.anchors = 0, 0, 0
 
 
 def _is_bad(tag: str, attrs: str) -> tuple[bool, bool]:
@@ -61,12 +74,13 @@ def _is_bad(tag: str, attrs: str) -> tuple[bool, bool]:
     if tag in _DROP and tag != "form":
         return True, False
     named = tag == "form"  # some pages are one form
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body"):
         return named, named
+    rule = _BAD_ARTICLE if tag in NAMED else _BAD
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            named = named or _BAD.search(value) is not None
+            named = named or rule.search(value) is not None
         elif name == "role":
             if value.lower() in _BAD_ROLE:
                 return True, False
@@ -75,30 +89,61 @@ def _is_bad(tag: str, attrs: str) -> tuple[bool, bool]:
     return named, named
 
 
+def _tag(page: str, at: int, unclosed: set[str]) -> tuple[str, str, bool, int, int] | None:
+    """(name, attributes, whether it ends, start, end) of the next tag from at on; comments and declarations have no name.
+
+    A quote that is never closed is taken as it stands, and noted in unclosed; a tag that is never closed ends the page.
+    """
+    while (at := page.find("<", at)) >= 0:
+        ends = page.startswith("/", at + 1)
+        if page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            return "", "", False, at, close + 3 if close >= 0 else len(page)
+        if page[at + 1 : at + 2] in ("!", "?"):
+            close = page.find(">", at)
+            return "", "", False, at, close + 1 if close >= 0 else len(page)
+        if name := _NAME.match(page, at + 1 + ends):
+            pos = name.end()
+            while True:
+                pos = _PLAIN.match(page, pos).end()
+                mark = page[pos : pos + 1]
+                if mark == ">":
+                    return name[0].lower(), page[name.end() : pos], ends, at, pos + 1
+                if not mark:
+                    return "", "", False, at, len(page)
+                close = page.find(mark, pos + 1) if mark not in unclosed else -1
+                if close < 0:
+                    unclosed.add(mark)  # nor will one be closed further on
+                pos = max(close, pos) + 1
+        at += 1
+    return None
+
+
 def _tree(page: str) -> _Node:
     """Elements and texts; unknown end tags are ignored, open elements end with the one around them."""
     root = node = _Node("html", None)
-    at, size = 0, len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            node.kids.append(page[at:])
-            break
-        if m.start() > at:
-            node.kids.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    path = [root]
+    open_at: dict[str, list[int]] = {}  # depths of the open elements of each tag
+    deepest = lambda tags: max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
+    def leave(depth: int) -> _Node:
+        """End the open elements from depth on."""
+        while len(path) > depth:
+            open_at[path.pop().tag].pop()
+        return path[-1]
+
+    at, unclosed = 0, set()
+    while found := _tag(page, at, unclosed):
+        tag, attrs, ends, start, end = found
+        if start > at:
+            node.kids.append(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            up: _Node | None = node
-            while up is not None and up.tag != tag:
-                if up.tag in _SCOPE and tag not in _BLOCK:
-                    up = None  # an inline end tag doesn't end blocks around it
-                    break
-                up = up.up
-            if up is not None and up.up is not None:
-                node = up.up
+        if ends:
+            depth = deepest((tag,))
+            if depth and (tag in _BLOCK or deepest(_SCOPE) <= depth):  # an inline end tag doesn't end blocks around it
+                node = leave(depth)
             continue
         if tag in ("html", "body"):
             continue
@@ -106,46 +151,65 @@ def _tree(page: str) -> _Node:
             if tag in ("br", "hr"):
                 node.kids.append(_Node(tag, node))
             continue
-        up = node
-        while up is not None:
-            if tag in _ENDS.get(up.tag, ()):
-                node = up.up or root
-                break
-            if up.tag in _SCOPE and not (up.tag in ("td", "th") and tag in ("td", "th", "tr")):
-                break
-            up = up.up
-        child = _Node(tag, node, *_is_bad(tag, m[3]))
+        closed = deepest(_CLOSES.get(tag, ()))
+        if closed and closed >= deepest(_SCOPE - {"td", "th"} if tag in ("td", "th", "tr") else _SCOPE):
+            node = leave(closed)
+        child = _Node(tag, node, *_is_bad(tag, attrs))
         node.kids.append(child)
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if tag not in _DROP:
-                child.kids.append(page[at : end.start() if end else size])
-            at = end.end() if end else size
-        elif not m[3].rstrip().endswith("/") or tag in _BLOCK:
+                child.kids.append(page[at : close.start() if close else len(page)])
+            at = close.end() if close else len(page)
+        elif not attrs.rstrip().endswith("/") or tag in _BLOCK:
             node = child
+            open_at.setdefault(tag, []).append(len(path))
+            path.append(child)
+    if at < len(page):
+        node.kids.append(page[at:])
     return root
 
 
-def _measure(node: _Node, inside_link: bool) -> None:
-    """Characters of text and of text in links below every element, without what is bad. No recursion: pages nest deep."""
-    order, links = [], {id(node): inside_link}
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        order.append(x)
-        in_link = links[id(x)]
-        for k in x.kids:
-            if isinstance(k, str):
-                n = len(k.strip())
-                x.chars += n
-                x.linked += n * in_link
-            elif not k.bad:
-                links[id(k)] = in_link or k.tag == "a"
-                stack.append(k)
+def _ordered(root: _Node) -> list[_Node]:
+    """Elements that are not bad, each before those inside it. No recursion: pages nest deep."""
+    return list(_walk(root))
+
+
+def _score(root: _Node) -> None:
+    """Characters, those in links, anchors, points and scores of every element, without what is bad."""
+    order, in_link = _ordered(root), set()
+    for x in order:
+        if x.tag == "a" or x.up is not None and id(x.up) in in_link:
+            in_link.add(id(x))
+        x.chars = sum(len(k.strip()) for k in x.kids if isinstance(k, str))
+        x.linked = x.chars if id(x) in in_link else 0
+        x.anchors = int(x.tag == "a")
     for x in reversed(order):
-        if x is not node and x.up is not None:
+        if x is not root:
             x.up.chars += x.chars
             x.up.linked += x.linked
+            x.up.anchors += x.anchors
+    block = {id(root): root}  # the nearest block at or around each element
+    for x in order[1:]:
+        block[id(x)] = x if x.tag in _BLOCK else block[id(x.up)]
+    for x in order:
+        if x.tag in _HEADING or x.tag not in _BLOCK and x is not root:
+            continue
+        text = _own_text(x).strip()
+        if text:
+            points = (len(text) >= 25) + text.count(",") + min(len(text) / 100, 3)
+            holder = block[id(x.up)] if x.up is not None and x.tag in ("p", "pre", "blockquote", "li", "td", "dd") else x
+            holder.own += points * (1 - x.linked / max(x.chars, 1))
+    for x in order:
+        x.score = x.points = x.own
+    for x in reversed(order):
+        if x is not root:
+            x.up.score += x.score * (DECAY if x.up.tag in _BLOCK or x.up is root else 1)
+            x.up.points += x.points
+    for x in order:
+        if x.tag in NAMED:
+            x.score = max(x.score, NAMED[x.tag] * x.points)
+        x.score *= 1 - x.linked / max(x.chars, 1)
 
 
 def _pardon(root: _Node) -> None:
@@ -193,76 +257,68 @@ def _walk(root: _Node) -> Iterator[_Node]:
         stack.extend(k for k in reversed(x.kids) if not isinstance(k, str) and not k.bad)
 
 
-def _with_siblings(around: _Node, value: Callable[[_Node], float]) -> list[_Node]:
-    """An article with the other articles beside it that score well, and with headings beside it and its ancestors.
-
-    Headings outside a main or article element stay where the article has none.
-    """
-    if around.up is None:
-        return [around]
-    best = lambda k: max(map(value, _walk(k)))
-    least = 0.2 * best(around)
-    kept = [k for k in around.up.kids if k is around or not isinstance(k, str) and not k.bad and (k.tag in _HEADING or k.tag == "header" or k.tag == around.tag and best(k) >= least)]
-    inside, x = [], around.up
-    while x is not None:
-        inside.append(x)
-        x = x.up
-    whole = max((i for i, x in enumerate(inside) if x.tag in ("article", "main")), default=-1)
-    if whole < 0:
-        titled = any(x.tag in _HEADING for x in _walk(around))
-        return [k for k in kept if not titled or k.tag not in _HEADING and k.tag != "header"]
-    for child, x in zip(inside[:whole], inside[1 : whole + 1], strict=True):
-        at = next(i for i, k in enumerate(x.kids) if k is child)
-        beside = lambda ks: [k for k in ks if not isinstance(k, str) and not k.bad and (k.tag in _HEADING or k.tag == "header")]
-        kept = beside(x.kids[:at]) + kept + beside(x.kids[at + 1 :])
-    return kept
+def _beside(kids: list[_Node | str]) -> list[_Node]:
+    return [k for k in kids if not isinstance(k, str) and not k.bad and (k.tag in _HEADING or k.tag == "header")]
 
 
 def _container(root: _Node) -> list[_Node]:
-    """The best container, with siblings worth keeping, in page order."""
-    _measure(root, False)
-    scored: list[_Node] = []
+    """The container with the best score, with siblings worth keeping, in page order.
+
+    Headings beside it stay, and those beside its ancestors up to the outermost article or main element around it. Of
+    equal scores the innermost, and then the first, is best.
+    """
+    _score(root)
+    order = [x for x in _ordered(root) if x is root or x.tag in _BLOCK and x.tag not in _HEADING and x.tag not in ("p", "li", "tr", "td", "th", "dt", "dd", "tbody", "thead", "tfoot", "ul", "ol", "dl")]
+    depth = {id(root): 0}
     for x in _walk(root):
-        if x.tag not in _BLOCK or x.tag in _HEADING:
-            continue
-        text = _own_text(x).strip()
-        if len(text) < 25 and x.tag != "p":
-            continue
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - x.linked / max(x.chars, 1))
-        holder, share = (x.up if x.tag in ("p", "pre", "blockquote", "li", "td", "dd") else x), 1.0
-        while holder is not None and share >= 0.25:
-            if holder.tag in _BLOCK or holder is root:
-                if not holder.score:
-                    scored.append(holder)
-                holder.score += points * share
-                share /= 2
-            holder = holder.up
-    if not scored:
-        return [root]
-    value = lambda x: x.score * (1 - x.linked / max(x.chars, 1))
-    best = max(scored, key=value)
-    around = best
-    while around is not None and around.tag not in ("article", "main"):
-        around = around.up
-    if around is not None:
-        return _with_siblings(around, value)
+        if x is not root:
+            depth[id(x)] = depth[id(x.up)] + 1
+    best = max(order, key=lambda x: (round(x.score, 9), depth[id(x)]))
     if best.up is None:
         return [best]
-    least, kept = max(10.0, 0.2 * value(best)), []
+    line = [best]  # best and its ancestors
+    while line[-1].up is not None:
+        line.append(line[-1].up)
+    whole = max((i for i, x in enumerate(line) if x.tag in NAMED), default=-1)
+    least, kept = SHARE * best.score, []
+    titled = any(x.tag in _HEADING for x in _walk(best))
     for k in best.up.kids:
         if isinstance(k, str) or k.bad:
+            if isinstance(k, str) and best.tag not in NAMED and len(k.strip()) >= 25 and best.up.tag in _BLOCK:
+                kept.append(_text(k, best.up))
             continue
-        dense = k.linked / max(k.chars, 1)
-        if k is best or value(k) >= least or k.tag in _HEADING or k.tag == "p" and k.chars and dense < (0.25 if k.chars > 80 else 0.01):
+        if k is best:
             kept.append(k)
+        elif k.tag in _HEADING or k.tag == "header":
+            if whole > 0 or not titled or best.tag not in NAMED:
+                kept.append(k)
+        elif best.tag in NAMED:
+            if k.tag == best.tag and k.score >= least:
+                kept.append(k)
+        else:
+            dense = k.linked / max(k.chars, 1)
+            if k.tag == "p":
+                good = k.chars and dense < (0.25 if k.chars > 80 else 0.01)
+            else:
+                good = k.tag in _BLOCK and k.score > 0 and k.score >= least
+            if good:
+                kept.append(k)
+    for child, x in zip(line[1:], line[2 : whole + 1], strict=False):
+        at = next(i for i, k in enumerate(x.kids) if k is child)
+        kept = _beside(x.kids[:at]) + kept + _beside(x.kids[at + 1 :])
     return kept
 
 
+def _text(text: str, up: _Node) -> _Node:
+    """A bare text beside the best container, as a block of its own."""
+    made = _Node("p", up)
+    made.kids.append(text)
+    return made
+
+
 def _menu(node: _Node) -> bool:
     """A list or box of links."""
-    if node.tag not in ("ul", "ol", "dl", "div", "table", "section") or not node.chars or node.linked < 0.66 * node.chars:
-        return False
-    return sum(x.tag == "a" for x in _walk(node)) >= 3
+    return node.tag in ("ul", "ol", "dl", "div", "table", "section") and node.anchors >= 3 and node.chars > 0 and node.linked >= 0.66 * node.chars
 
 
 def _headings(node: _Node) -> list[_Node]:
@@ -286,38 +342,32 @@ def main_text(page: str | None) -> str:
         return ""
     root = _tree(page)
     _pardon(root)
+    named = {id(root): False}  # whether an article or main element is at or around each element
     for x in _walk(root):
+        named[id(x)] = x.tag in NAMED or x.up is not None and named[id(x.up)]
         if x.tag == "header":  # of an article, only its headings stay
-            in_article, up = False, x.up
-            while up is not None:
-                in_article |= up.tag in ("article", "main")
-                up = up.up
-            x.bad = not in_article
-            x.kids = _headings(x)
+            x.bad = not named[id(x)]
+            x.kids = [] if x.bad else _headings(x)
     lines: list[str] = []
     part: list[str] = []
 
     def end() -> None:
-        line = _SPACE.sub(" ", _html.unescape("".join(part))).strip()
+        line = _SPACE.sub(" ", "".join(part)).strip()
         part.clear()
         if line:
             lines.append(line)
 
     for top in _container(root):
-        in_article, up = False, top
-        while up is not None:
-            in_article |= up.tag in ("article", "main")
-            up = up.up
         stack: list[_Node | str | None] = [top]
         while stack:
             k = stack.pop()
             if k is None:
                 end()
             elif isinstance(k, str):
-                part.append(k)
+                part.append(_html.unescape(k))
             elif k.tag == "br":
                 part.append(" ")
-            elif not k.bad and not (k is not top and not in_article and _menu(k)):
+            elif not k.bad and not (k is not top and not named.get(id(k), False) and _menu(k)):
                 if k.tag in _BLOCK:
                     end()
                     stack.append(None)
@@ -335,8 +385,8 @@ def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page, from its whole html.
 
-    Null or empty html gives an empty text. Repeated rows each have their row, null ids and urls stay null, other
-    columns are ignored.
+    Null or empty html gives an empty text, an empty table an empty result. Repeated rows each have their row, null ids
+    and urls stay null, other columns are ignored. A page of any length is read whole, in linear time.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))

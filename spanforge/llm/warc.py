@@ -16,12 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import small_batches, written
+from spanforge.llm.common import dropped, small_batches, written, written_at
 
 CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT = 1000  # bytes of a payload from which equal ones are stored once
 FILE_RECORDS = 500  # records in a file at most: files are read whole, and chains stay short
+RECORD_BYTES = 1 << 16  # payloads of twice, four times... as many bytes go to files of half, a quarter... as many records
 
 RECORD = "file long, offset long, next long, size long, page_id long, type string, refers_to long, stated_digest string, payload_bytes long, payload_digest string"
 
@@ -47,8 +48,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     The payload is the html in UTF-8 (null: empty). Of records with equal payloads of MIN_REVISIT bytes or more the one
     with the largest id is a response and the others, also those without an id, are revisits without a payload; rows
-    that repeat the largest id are responses too. Payloads need not be free of WARC's own marks. Other columns are
-    ignored; an empty table writes no record.
+    that repeat the largest id are responses too. Payloads need not be free of WARC's own marks. A file holds at most
+    FILE_RECORDS records and FILE_RECORDS * RECORD_BYTES bytes of payload, or one record. Other columns are ignored; an
+    empty table writes no record.
     """
     marked = revisits(pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), "id", "html")
     again = F.col("__refers").isNotNull()
@@ -66,8 +68,13 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         F.lit(CRLF),
     )
     body = F.when(again, F.lit("")).otherwise(F.coalesce(F.col("html"), F.lit("")))
-    # the writer's line separator is the blank lines that end a record
-    marked.select(F.concat(head, body).alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+    # the class of a size halves the records of a file; most corpora have class 0 only
+    size = F.greatest(F.ceil(F.log2(F.octet_length(F.coalesce("html", F.lit(""))) / RECORD_BYTES)), F.lit(0)).cast("int")
+    classes = [r[0] for r in pages.select(F.col(html_col).alias("html")).select(F.coalesce(size, F.lit(0))).distinct().collect()]  # 16 at most
+    for k in sorted({0, *classes}):
+        # the writer's line separator is the blank lines that end a record
+        chosen = marked.where(F.coalesce(size, F.lit(0)) == k).select(F.concat(head, body).alias("value"))
+        chosen.write.mode("append").option("lineSep", CRLF * 2).option("maxRecordsPerFile", max(1, FILE_RECORDS >> k)).option("compression", "gzip").text(path)
 
 
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
@@ -112,17 +119,38 @@ def reachable(records: DataFrame) -> DataFrame:
     records: file, offset, next. Every round doubles the distance that pointers span and marks what a marked record's
     pointer meets, so a chain of n records takes about log2(n) rounds.
     """
+    spark, at = records.sparkSession, None
     state = records.select("file", "offset", "next", (F.col("offset") == 0).alias("met"))
-    marks = None
     while True:
         hops = state.select("file", F.col("offset").alias("next"), F.col("next").alias("far"))
         hit = state.where("met").select("file", F.col("next").alias("offset")).withColumn("hit", F.lit(True))
         ahead = state.join(hops, ["file", "next"], "left").join(hit, ["file", "offset"], "left")
-        state = written(ahead.select("file", "offset", F.col("far").alias("next"), (F.col("met") | F.col("hit").isNotNull()).alias("met")), "chain")
+        state, now = written_at(ahead.select("file", "offset", F.col("far").alias("next"), (F.col("met") | F.col("hit").isNotNull()).alias("met")), "chain")
+        if at:
+            dropped(spark, at)
+        at = now
         if state.where(F.col("next").isNotNull()).isEmpty():
             # a last pointer may still have met something in this round
-            marks = state.where("met").select("file", "offset")
-            return marks
+            return state.where("met").select("file", "offset")
+
+
+def _found(spark: SparkSession, path: str, with_payload: bool) -> DataFrame:
+    small_batches(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    chunks = files.where("length > 0").select(F.xxhash64("path").alias("file"), "content")
+    return written(chunks.mapInPandas(_candidates(with_payload), RECORD + (", payload binary" if with_payload else "")), "records")
+
+
+def broken_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, read_bytes) of each archive under path whose chain of records does not reach its end; file is xxhash64 of its path.
+
+    A file in which nothing looks like a record has null bytes and 0 read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    found = _found(spark, path, False)
+    read = found.join(reachable(found), ["file", "offset"], "left_semi").groupBy("file").agg(F.max("next").alias("read_bytes"))
+    sizes = files.where("length > 0").select(F.xxhash64("path").alias("file")).join(found.groupBy("file").agg(F.max("size").alias("bytes")), "file", "left")
+    return sizes.join(read, "file", "left").select("file", "bytes", F.coalesce("read_bytes", F.lit(0)).alias("read_bytes")).where("bytes IS NULL OR read_bytes < bytes")
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
@@ -131,10 +159,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
     Files may be plain or gzipped; offsets are of the plain bytes. Only records that the chain of boundaries reaches from
     their file's start count. payload_bytes and payload_digest
     are of the payload that is stored, or for a revisit of the full one as its record states them. A file is read
-    whole by one task. A record that breaks the chain (cut off, or no valid length) ends what is read of its file.
+    whole by one task. A record that breaks the chain (cut off, or no valid length) ends what is read of its file;
+    broken_files names such files.
     """
-    small_batches(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    chunks = files.where("length > 0").select(F.xxhash64("path").alias("file"), "content")
-    found = written(chunks.mapInPandas(_candidates(with_payload), RECORD + (", payload binary" if with_payload else "")), "records")
+    found = _found(spark, path, with_payload)
     return found.join(reachable(found), ["file", "offset"], "left_semi")

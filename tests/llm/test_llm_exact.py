@@ -51,6 +51,26 @@ def test_jaccard_of_a_large_group_of_near_copies(spark):
     assert j >= 0.8 and all(got[k] == (0, 149) for k in range(150)) and all(got[1000 + k] == (1000 + k, 0) for k in range(50))
 
 
+def test_every_link_of_a_query_set_is_found(spark):
+    """Recall against brute force: queries are the ids divisible by 20, against all rows of sf0.1."""
+    d = pd.read_parquet("/root/testdata/sf0.1/documents.parquet")
+    sets = [shingle_set(t) for t in d.text]
+    asked = {s for i, x in zip(d.doc_id, sets, strict=True) if i % 20 == 0 for s in x}
+    where: dict = {}
+    for k, x in enumerate(sets):
+        for s in x & asked:
+            where.setdefault(s, []).append(k)
+    want = {}
+    for k, (i, x) in enumerate(zip(d.doc_id, sets, strict=True)):
+        if i % 20 == 0:
+            shared = Counter(j for s in x for j in where[s])
+            want[i] = sum(n >= 0.8 * (len(x) + len(sets[j]) - n) - 1e-9 for j, n in shared.items() if j != k)
+    got = {r["doc_id"]: r["n_links"] for r in queries.op2_jaccard(spark, "/root/testdata/sf0.1").where("doc_id % 20 = 0").collect()}
+    assert sum(want.values()) > 200 and sum(got.values()) <= sum(want.values())
+    assert sum(min(got[i], n) for i, n in want.items()) >= 0.99 * sum(want.values())
+    print("recall", sum(got.values()) / sum(want.values()), sum(want.values()))
+
+
 def test_runs_reach_the_recall():
     assert jaccard.runs_for(0.9999, 0.8) >= 4 and jaccard.runs_for(0.9, 0.8) < jaccard.runs_for(0.9999, 0.8)
 
@@ -373,9 +393,19 @@ def test_html_of_every_page(spark, sf_dir):
         assert got[i] == "\n".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize("instead", ["div", "section", ""])
+def test_scores_alone_find_the_article(instead):
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")
+    for h in pages.html:
+        plain = h.replace("<article>", f"<{instead}>" if instead else "").replace("</article>", f"</{instead}>" if instead else "")
+        assert html.main_text(plain) == html.main_text(h)
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
+        ("<div id=x><div class=lead><p>First words, of some length, that open the piece.</p></div><div class=body><p>Then much more follows, with commas, and yet more of it, as is usual.</p><p>And an end.</p></div></div><div class=links><a href=a>One link to go on</a> <a href=b>Another link, to go</a></div>", "First words, of some length, that open the piece.\nThen much more follows, with commas, and yet more of it, as is usual.\nAnd an end."),
+        ("<article><p>Sum <math><mi>x</mi></math> and <object>o</object> <audio>s</audio>.</p></article><article class=comment><p>A reader says, and says, and says more than enough.</p></article>", "Sum x and o s."),
         ('<body><header><h1>Site</h1></header><div id="main-menu"><a href=x>a</a></div><div class="story"><p>This is a long paragraph, with commas, and with text enough to score.</p><p>More follows here, too.</p><div class="comments"><p>A reader says, and says, and says more than enough.</p></div></div><div class="cookie-notice"><p>We use cookies, and so on, please accept them all.</p></div></body>', "This is a long paragraph, with commas, and with text enough to score.\nMore follows here, too."),
         ("<article><header><h1>T</h1><span>by x</span></header><p>Text &lt;b&gt; here<ul><li>one<li>two</ul><form><p>mail</form></article>", "T\nText <b> here\none\ntwo"),
         ("<main><p>a<p>b<br>c&nbsp;d</p><aside>x</aside><table><tr><td>1<td>2</table></main>", "a\nb c d\n1\n2"),
