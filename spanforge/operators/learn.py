@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.operators import patterns as P
+from spanforge.plans.lineage import cut
 
 MODELS = "api string, model string, generalized boolean, original string, first_sym string, max_len int"
 STATS = "api string, empty_allowed boolean, n_train int, n_redundant int, n_test int, successes int, fails int"
@@ -97,19 +98,22 @@ def learn_group(api: str, seqs: list[str], kind: str) -> tuple[list[tuple], tupl
 def build_models(encoded: DataFrame, kind: str = "less_generic") -> tuple[DataFrame, DataFrame]:
     """(models, stats) from realizations (api, rid, enc)."""
 
-    def models(group: pd.DataFrame) -> pd.DataFrame:
-        rows, _ = learn_group(group["api"].iloc[0], list(group.sort_values("rid")["enc"]), kind)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in MODELS.split(", ")])
+    names, told = ([c.split()[0] for c in x.split(", ")] for x in (MODELS, STATS))
+    more = [c for c in told if c not in names]
 
-    def stats(group: pd.DataFrame) -> pd.DataFrame:
-        _, row = learn_group(group["api"].iloc[0], list(group.sort_values("rid")["enc"]), kind)
-        return pd.DataFrame([row] if row else [], columns=[c.split()[0] for c in STATS.split(", ")])
+    def learn(group: pd.DataFrame) -> pd.DataFrame:
+        rows, row = learn_group(group["api"].iloc[0], list(group.sort_values("rid")["enc"]), kind)
+        found = [dict(zip(names, r, strict=True), __stats=False) for r in rows] + ([dict(zip(told, row, strict=True), __stats=True)] if row else [])
+        columns = [*names, *more, "__stats"]
+        return pd.DataFrame([[x.get(c) for c in columns] for x in found], columns=columns, dtype=object)
 
-    groups = encoded.select("api", "rid", "enc").groupBy("api")
-    return groups.applyInPandas(models, MODELS), groups.applyInPandas(stats, STATS)
+    types = [c for c in STATS.split(", ") if c.split()[0] in more]
+    # learned once: both results read the checkpoint
+    both = cut(encoded.select("api", "rid", "enc").groupBy("api").applyInPandas(learn, ", ".join([MODELS, *types, "__stats boolean"])))
+    return both.where("NOT __stats").select(*names), both.where("__stats").select(*told)
 
 
-def learn_aligned(seqs: list[str]) -> tuple[str, int, int]:
+def learn_aligned(seqs: list[str], api: str = "") -> tuple[str, int, int]:
     """(pattern, matched, failed): realizations aligned one after another; with over 10 the later half is for test."""
     train = seqs if len(seqs) <= 10 else seqs[: min(TRAIN_ALIGNED, len(seqs) // 2)]
     test = seqs[len(train) :] if len(train) < len(seqs) else []
@@ -120,7 +124,8 @@ def learn_aligned(seqs: list[str]) -> tuple[str, int, int]:
             pattern = P.widen(pattern, s)
     text = P.aligned_text(pattern)
     machine = P.Machine(text)
-    assert all(machine.full(s) for s in train), text
+    if not all(machine.full(s) for s in train):
+        raise ValueError(f"{api}: the aligned pattern {text} does not match its own realizations")
     good = sum(machine.full(s) for s in test)
     return text, good, len(test) - good
 
@@ -136,7 +141,7 @@ def build_aligned(encoded: DataFrame) -> DataFrame:
         elif sum(map(len, seqs)) / len(seqs) > LONG:
             rows = [(api, "too long", None, 0, 0)]
         else:
-            rows = [(api, "ok", *learn_aligned(seqs))]
+            rows = [(api, "ok", *learn_aligned(seqs, api))]
         return pd.DataFrame(rows, columns=["api", "status", "model", "successes", "fails"])
 
     return encoded.groupBy("api").applyInPandas(run, "api string, status string, model string, successes int, fails int")
@@ -178,6 +183,37 @@ def evaluate(encoded: DataFrame, models: DataFrame) -> DataFrame:
     return hit.groupBy("api").agg(F.sum(F.when(F.col("ok"), F.col("n")).otherwise(0)).cast("long").alias("successes"), F.sum(F.when(F.col("ok"), 0).otherwise(F.col("n"))).cast("long").alias("fails"))
 
 
+def evaluate_timed(encoded: DataFrame, models: DataFrame, timeout: float = 5.0) -> DataFrame:
+    """(api, successes, fails, timeouts) as evaluate has them; a realization that no model matches and that took one too long is a time-out."""
+    import regex
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for api, enc, n, patterns in zip(batch["api"], batch["enc"], batch["n"], batch["models"], strict=True):
+                late = ok = False
+                for p in patterns:
+                    try:
+                        ok = regex.compile(p).fullmatch(enc, timeout=timeout) is not None
+                    except TimeoutError:
+                        late = True
+                    if ok:
+                        break
+                out.append((api, n * ok, n * (not ok and not late), n * (not ok and late)))
+            yield pd.DataFrame(out, columns=["api", "successes", "fails", "timeouts"])
+
+    seqs = encoded.where("enc <> ''").groupBy("api", "enc").agg(F.count(F.lit(1)).alias("n"))
+    own = models.groupBy("api").agg(F.array_sort(F.collect_set("model")).alias("models"))
+    tried = seqs.join(own, "api").select("api", "enc", "n", "models").mapInPandas(run, "api string, successes long, fails long, timeouts long")
+    return tried.groupBy("api").agg(*[F.sum(c).cast("long").alias(c) for c in ("successes", "fails", "timeouts")])
+
+
+def expensive(stats: DataFrame, low: float = 0.01, high: float = 1.0) -> DataFrame:
+    """(api, ratio) of time-outs within the bounds, the worst first."""
+    ratio = F.col("timeouts") / F.nullif(F.col("successes") + F.col("fails") + F.col("timeouts"), F.lit(0))
+    return stats.select("api", ratio.alias("ratio")).where(F.col("ratio").between(low, high)).orderBy(F.col("ratio").desc(), "api")
+
+
 def count_matches(encoded: DataFrame, models: DataFrame) -> DataFrame:
     """(api, model, n, total): realizations that each model matches whole, and the API's non-empty ones."""
     seqs = encoded.where("enc <> ''").groupBy("api", "enc").agg(F.count(F.lit(1)).alias("k"))
@@ -198,9 +234,8 @@ def global_rare(counts: DataFrame, threshold: float = 0.01) -> DataFrame:
 
 def same_models(models: DataFrame) -> DataFrame:
     """(api, other): for each API the first later one that shares a model."""
-    m = models.select("api", "model").distinct()
-    pairs = m.join(m.withColumnRenamed("api", "other"), "model").where("api < other")
-    return pairs.groupBy("api").agg(F.min("other").alias("other"))
+    after = models.select("api", "model").distinct().withColumn("other", F.lead("api").over(Window.partitionBy("model").orderBy("api")))
+    return after.where("other IS NOT NULL").groupBy("api").agg(F.min("other").alias("other"))
 
 
 def sharing(models: DataFrame, api: str) -> DataFrame:

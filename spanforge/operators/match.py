@@ -5,11 +5,15 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators.patterns import Machine
 
+TIMEOUT = 5.0  # seconds for a match of one model at one place
+MAX_MODELS = 500_000  # models (with a first symbol each) that go to the tasks at most: some 100 bytes a model
+PREFIXES = 100  # lengths of prefixes that evaluations take
 
 def candidates(encoded: DataFrame, models: DataFrame) -> DataFrame:
     """(tid, s, e, api): at every position, each model's longest match there.
@@ -47,24 +51,49 @@ def chain(matches: DataFrame, start: DataFrame | None = None) -> DataFrame:
     return matches.join(kept, ["tid", "s"], "left_semi")
 
 
-def munch(encoded: DataFrame, models: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """Maximal munch: (tid, s, e, apis)."""
-    return chain(best(candidates(encoded, models)), start)
+def munch(encoded: DataFrame, models: DataFrame, start: DataFrame | None = None, timeout: float = TIMEOUT) -> DataFrame:
+    """Maximal munch: (tid, s, e, apis).
 
+    At each place every model's match is the one its pattern finds first, as a regular expression does; the longest of
+    them wins. Up to MAX_MODELS models go to the tasks, which scan each string once, without a shuffle; more meet the
+    positions in a join. A match that takes more than timeout seconds counts as none.
+    """
+    rows = models.select("api", "model", "first_sym").distinct().limit(MAX_MODELS + 1).collect()
+    if len(rows) > MAX_MODELS:
+        return chain(best(candidates(encoded, models)), start)
+    given = [tuple(r) for r in rows]
+    zero = F.lit(0).cast("long")
+    strings = encoded.select("tid", "enc").withColumn("first", zero) if start is None else encoded.select("tid", "enc").join(start.select("tid", "first"), "tid", "left").withColumn("first", F.coalesce("first", zero))
 
-@lru_cache(maxsize=4096)
-def _machine(text: str) -> Machine:
-    return Machine(text)
+    def run(batches):
+        by_first = _by_first(given)
+        for batch in batches:
+            found = [(t, s, e, apis) for t, enc, first in zip(batch["tid"], batch["enc"], batch["first"], strict=True) for s, e, apis in _scan(enc or "", by_first, int(first), timeout)]
+            yield pd.DataFrame(found, columns=["tid", "s", "e", "apis"])
 
+    return strings.mapInPandas(run, f"tid {dict(encoded.dtypes)['tid']}, s long, e long, apis array<string>")
 
-def munch_one(text: str, models: list[tuple[str, str, str]], start: int = 0) -> list[tuple[int, int, list[str]]]:
-    """Maximal munch of one string by models (api, model, first symbol), in time linear in it for each model."""
-    by_first: dict[str, list[tuple[str, Machine]]] = {}
+
+def _by_first(models: list[tuple[str, str, str]]) -> dict[str, list[tuple[str, regex.Pattern]]]:
+    found: dict[str, list[tuple[str, regex.Pattern]]] = {}
     for api, model, first in models:
-        by_first.setdefault(first, []).append((api, Machine(model)))
+        found.setdefault(first, []).append((api, regex.compile(model)))
+    return found
+
+
+def _end(pattern: regex.Pattern, text: str, at: int, timeout: float) -> int:
+    """Where the pattern's match at a place ends; -1 without one, or when it takes too long."""
+    try:
+        m = pattern.match(text, at, timeout=timeout)
+    except TimeoutError:
+        return -1
+    return m.end() if m else -1
+
+
+def _scan(text: str, by_first: dict[str, list[tuple[str, regex.Pattern]]], start: int, timeout: float) -> list[tuple[int, int, list[str]]]:
     out, at = [], max(start, 0)
     while at < len(text):
-        ends = [(m.longest(text, at), api) for api, m in by_first.get(text[at], [])]
+        ends = [(_end(p, text, at, timeout), api) for api, p in by_first.get(text[at], [])]
         end = max((e for e, _ in ends), default=-1)
         if end > at:
             out.append((at, end, sorted({api for e, api in ends if e == end})))
@@ -74,15 +103,14 @@ def munch_one(text: str, models: list[tuple[str, str, str]], start: int = 0) ->
     return out
 
 
-def munch_long(encoded: DataFrame, models: list[tuple[str, str, str]]) -> DataFrame:
-    """munch() for very long threads, a string at a time, where a row for each position is too much."""
+def munch_one(text: str, models: list[tuple[str, str, str]], start: int = 0, timeout: float = TIMEOUT) -> list[tuple[int, int, list[str]]]:
+    """Maximal munch of one string by models (api, model, first symbol)."""
+    return _scan(text, _by_first(models), start, timeout)
 
-    def run(batches):
-        for batch in batches:
-            rows = [(t, s, e, apis) for t, enc in zip(batch["tid"], batch["enc"], strict=True) for s, e, apis in munch_one(enc or "", models)]
-            yield pd.DataFrame(rows, columns=["tid", "s", "e", "apis"])
 
-    return encoded.select("tid", "enc").mapInPandas(run, f"tid {dict(encoded.dtypes)['tid']}, s long, e long, apis array<string>")
+@lru_cache(maxsize=4096)
+def _machine(text: str) -> Machine:
+    return Machine(text)
 
 
 def _hits(encoded: DataFrame, models: DataFrame) -> DataFrame:
@@ -124,14 +152,14 @@ def prefixes(encoded: DataFrame, stop: int) -> DataFrame:
     return encoded.select("tid", "enc", F.explode(F.sequence(F.lit(1), F.lit(stop))).alias("k")).where(F.length("enc") >= F.col("k")).select("tid", "k", F.substr("enc", F.lit(1), F.col("k")).alias("enc"))
 
 
-def prefix_counts(encoded: DataFrame, models: DataFrame, stop: int = 20) -> DataFrame:
+def prefix_counts(encoded: DataFrame, models: DataFrame, stop: int = PREFIXES) -> DataFrame:
     """(k, n_full, n_search, n_all): over prefixes of each length, model matches of the whole, anywhere, and in all."""
     tried = _hits(prefixes(encoded, stop).select(F.struct("tid", "k").alias("tid"), "enc"), models)
     counted = tried.select(F.col("tid.k").alias("k"), F.expr("enc RLIKE concat('^(?:', model, ')$')").alias("full"), F.expr("regexp_count(enc, model)").alias("n"))
     return counted.groupBy("k").agg(F.count_if("full").alias("n_full"), F.count_if(F.col("n") > 0).alias("n_search"), F.sum("n").cast("long").alias("n_all"))
 
 
-def match_order_violations(encoded: DataFrame, models: DataFrame, stop: int = 20) -> DataFrame:
+def match_order_violations(encoded: DataFrame, models: DataFrame, stop: int = PREFIXES) -> DataFrame:
     """(tid, api): whole matches of a prefix that a search in it would not find, and searches that find-all would not."""
     p = prefixes(encoded, stop).select(F.struct("tid", "k").alias("tid"), "enc")
     full, search, every = full_matches(p, models).select("tid", "api"), searches(p, models).select("tid", "api"), occurrences(p, models).select("tid", "api")
@@ -157,4 +185,4 @@ def overlapping(kb: DataFrame) -> DataFrame:
     return mine.join(others, "seq").where("api <> other").select("api", "other", "rid")
 
 
-__all__ = ["best", "candidates", "chain", "expected_ratio", "full_matches", "match_order_violations", "munch", "munch_long", "munch_one", "occurrence_spans", "occurrences", "overlapping", "prefix_counts", "prefixes", "searches"]
+__all__ = ["best", "candidates", "chain", "expected_ratio", "full_matches", "match_order_violations", "munch", "munch_one", "occurrence_spans", "occurrences", "overlapping", "prefix_counts", "prefixes", "searches"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.scalars import roll_up
@@ -73,19 +73,32 @@ def trace_ambiguity(matches: DataFrame, scopes: tuple[str, ...] = ("full", "meth
     return out
 
 
+def _windows(enc: Column, sizes: list[int]) -> Column:
+    """All windows of the given lengths."""
+    of = lambda n: F.when(F.length(enc) >= n, F.transform(F.sequence(F.lit(1), F.length(enc) - n + 1), lambda i: F.substr(enc, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.concat(*[of(n) for n in sizes])
+
+
 def ngram_counts(encoded: DataFrame, labels: DataFrame) -> DataFrame:
     """(ngram, n, freq): non-overlapping occurrences of labelled n-grams (ngram) in all strings.
 
-    Strings meet the n-grams that occur in them only: windows of each length join on the n-gram.
+    Windows are counted by their text in one scan, and only counts meet the labels. An n-gram that can overlap itself
+    (one that ends as it begins) is counted from the left in each string that has it instead.
     """
     grams = labels.select("ngram").distinct().withColumn("n", F.length("ngram"))
-    sizes = [r[0] for r in grams.select("n").distinct().collect()]
-    out = None
-    for n in sorted(sizes):
-        windows = encoded.where(F.length("enc") >= n).select("tid", "enc", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("enc") - n + 1), lambda i: F.substr("enc", i, F.lit(n))))).alias("ngram"))
-        part = windows.join(grams.where(F.col("n") == n), "ngram").select("ngram", "n", ((F.length("enc") - F.length(F.replace("enc", F.col("ngram"), F.lit("")))) / n).cast("long").alias("k"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("ngram", "n").agg(F.sum("k").cast("long").alias("freq"))
+    sizes = sorted(r[0] for r in grams.select("n").distinct().collect() if r[0])
+    if not sizes:
+        return grams.select("ngram", "n", F.lit(0).cast("long").alias("freq")).limit(0)
+    border = F.exists(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))), lambda k: (k < F.col("n")) & (F.substr("ngram", F.lit(1), k) == F.substr("ngram", F.col("n") - k + 1, k)))
+    grams = grams.withColumn("border", border)
+    counted = encoded.select(F.explode(_windows(F.col("enc"), sizes)).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("freq"))
+    plain = counted.join(grams.where("NOT border"), "ngram").select("ngram", "n", "freq")
+    inside = encoded.select("enc", F.explode(F.array_distinct(_windows(F.col("enc"), [n for n in sizes if n > 1]))).alias("ngram")) if sizes[-1] > 1 else None
+    if inside is None:
+        return plain
+    times = ((F.length("enc") - F.length(F.replace("enc", F.col("ngram"), F.lit("")))) / F.col("n")).cast("long")
+    again = inside.join(grams.where("border"), "ngram").groupBy("ngram", "n").agg(F.sum(times).cast("long").alias("freq"))
+    return plain.unionByName(again)
 
 
 def ngram_ambiguity(encoded: DataFrame, labels: DataFrame, scope: str = "full") -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed now and kept in the shared checkpoint folder (spark.checkpoint.dir; a temporary one where unset)."""
+    """df, computed now and kept in the shared checkpoint folder, spark.checkpoint.dir. Only a local master gets a temporary one where that is unset."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanforge-"))
     return df.checkpoint()

@@ -129,7 +129,7 @@ k AS (SELECT api AS root, callee, event AS flat FROM f UNION ALL SELECT k.root,
 k AS (SELECT api AS root, callee, coalesce(event, '') AS flat FROM g UNION SELECT k.root, g.callee, CASE WHEN g.api IS NULL THEN '?' ELSE trim(coalesce(g.event, '') || ' ' || k.flat) END FROM k LEFT JOIN g ON g.api = k.callee WHERE k.callee IS NOT NULL),
 u AS (SELECT root, flat FROM k WHERE callee IS NULL)""", recursive=True) + "SELECT root AS api, any_value(flat) AS flat FROM u GROUP BY root HAVING count(DISTINCT flat) = 1 AND any_value(flat) <> '?'",
     "invariant_violations": "SELECT '' AS rule, '' AS api WHERE false",
-    "model_cycles": _with(_graph(), "w AS (SELECT DISTINCT api, callee AS atp, 1 AS k FROM kg WHERE callee IS NOT NULL UNION SELECT w.api, kg.callee, w.k + 1 FROM w JOIN kg ON kg.api = w.atp WHERE kg.callee IS NOT NULL AND w.k < 12)", recursive=True) + "SELECT api, CAST(min(k) AS BIGINT) AS length FROM w WHERE atp = api GROUP BY api",
+    "model_cycles": _with(_graph(), "e AS (SELECT DISTINCT api, callee FROM kg WHERE callee IS NOT NULL)", "w AS (SELECT api, callee AS atp, 1 AS k FROM e UNION SELECT w.api, e.callee, w.k + 1 FROM w JOIN e ON e.api = w.atp WHERE w.k < (SELECT count(DISTINCT api) FROM e))", recursive=True) + "SELECT api, CAST(min(k) AS BIGINT) AS length FROM w WHERE atp = api GROUP BY api",
     "model_eval": _with(_OR, _FS, _OM, """h AS (SELECT oe.api, oe.rid, bool_or(regexp_full_match(enc, model)) AS ok FROM oe JOIN om ON om.api = oe.api WHERE enc <> '' GROUP BY oe.api, oe.rid),
 t AS (SELECT api, count_if(ok) AS successes, count_if(NOT ok) AS fails, count_if(NOT ok) / count(*) AS r FROM h GROUP BY api)""") + "SELECT api, CAST(successes AS BIGINT) AS successes, CAST(fails AS BIGINT) AS fails, CASE WHEN r BETWEEN 0.15 AND 1 THEN round(r, 6) END AS fail_ratio, r BETWEEN 0.15 AND 1 AS troublesome FROM t",
     "corpus_success": _with(_OR, _FS, _OM, "h AS (SELECT oe.rid, bool_or(regexp_full_match(enc, model)) AS ok FROM oe JOIN om ON om.api = oe.api WHERE enc <> '' GROUP BY oe.api, oe.rid)") + "SELECT round(count_if(ok) / count(*), 6) AS success, round(count_if(NOT ok) / count(*), 6) AS fail FROM h",
@@ -137,10 +137,24 @@ t AS (SELECT api, count_if(ok) AS successes, count_if(NOT ok) AS fails, count_if
     "local_rare": _with(_OR, _FS, _OM) + "SELECT om.api, om.model, CAST(count_if(regexp_full_match(enc, model)) AS BIGINT) AS n, count(*) AS total FROM om JOIN oe ON oe.api = om.api WHERE enc <> '' GROUP BY om.api, om.model HAVING count_if(regexp_full_match(enc, model)) < 0.02 * count(*)",
     "global_rare": _with(_OR, _FS, _OM, "c AS (SELECT om.api, om.model, count_if(regexp_full_match(enc, model)) < 0.02 * count(*) AS rare FROM om JOIN oe ON oe.api = om.api WHERE enc <> '' GROUP BY om.api, om.model)") + "SELECT model, count(*) AS n_apis FROM c GROUP BY model HAVING bool_and(rare)",
     "same_model_pairs": _with(_OM) + "SELECT a.api, min(b.api) AS other FROM om a JOIN om b ON a.model = b.model AND a.api < b.api GROUP BY a.api",
+    "noise_removed": _with(_EV, "l AS (SELECT * FROM ev WHERE name <> 'error')") + "SELECT tid, pos, name FROM l UNION ALL SELECT tid, min(pos) - 1, arg_min(name, pos) FROM l GROUP BY tid",
+    "java_lines_dropped": "SELECT event_id || '.500000 SYSCALL ' || user_id || ' ' || event_type || '(' || event_id || ', 0) = 0' AS value FROM events WHERE event_type NOT IN ('purchase', 'signup')",
+    "signal_lines_dropped": _with(_OR) + "SELECT od.api, od.ok AS rid, coalesce(string_agg('SYS:' || flag, '|' ORDER BY i) FILTER (flag <> 'NF'), '') AS seq FROM od LEFT JOIN ln ON ln.ok = od.ok GROUP BY od.api, od.ok",
+    "events_only": _with(_OR) + "SELECT tid, CAST(sum(n) AS BIGINT) AS n, CAST(min(p) AS BIGINT) AS first FROM (SELECT *, 1 + dense_rank() OVER (PARTITION BY tid ORDER BY yr) * 2 - 2 + 2 * row_number() OVER (PARTITION BY tid ORDER BY yr, atp, ok) - 1 + sum(n) OVER (PARTITION BY tid ORDER BY yr, atp, ok) - n AS p FROM od) WHERE n > 0 GROUP BY tid",
+    "modelless_dropped": _with(_OR) + "SELECT tid, 2 * count_if(api IN ('pkg.Order.1URGENT()', 'pkg.Order.5LOW()')) AS n_calls, CAST(sum(n) AS BIGINT) AS n_events FROM od GROUP BY tid HAVING sum(n) > 0 OR count_if(api IN ('pkg.Order.1URGENT()', 'pkg.Order.5LOW()')) > 0",
+    "api_call_names": _with(_OR) + "SELECT DISTINCT od.api, flag AS name FROM od JOIN ln USING (ok)",
+    "sharing_apis": _with(_OM) + "SELECT DISTINCT api FROM om WHERE api <> 'pkg.Order.1URGENT()' AND model IN (SELECT model FROM om WHERE api = 'pkg.Order.1URGENT()')",
+    "model_owner_apis": _with(_OM) + f"SELECT DISTINCT api FROM om WHERE model = chr({_FLAG_CODES['NO']})",
+    "models_numbered": _with(_OM) + "SELECT api, model, row_number() OVER (ORDER BY api, model) AS model_id FROM om",
+    "model_eval_timed": _with(_OR, _FS, _OM) + "SELECT api, CAST(count_if(ok) AS BIGINT) AS successes, CAST(count_if(NOT ok) AS BIGINT) AS fails, 0::BIGINT AS timeouts, false AS expensive FROM (SELECT oe.api, oe.rid, bool_or(regexp_full_match(enc, model)) AS ok FROM oe JOIN om ON om.api = oe.api WHERE enc <> '' GROUP BY ALL) GROUP BY api",
+    "full_match_threads": _with(_OR, _FS, _OM) + "SELECT rid AS tid, om.api, model FROM oe JOIN om ON regexp_full_match(enc, model)",
+    "first_occurrences": _with(_EV, _EM) + "SELECT tid, api, model, length(regexp_extract(enc, '^(.*?)(' || model || ')', 1)) AS s, length(regexp_extract(enc, '^(.*?)(' || model || ')', 1)) + length(regexp_extract(enc, '^(.*?)(' || model || ')', 2)) AS e FROM en JOIN em ON regexp_matches(enc, model)",
+    "all_occurrences": _with(_EV, _EM) + "SELECT tid, api, model, CAST(len(regexp_extract_all(enc, model)) AS BIGINT) AS n FROM en JOIN em ON regexp_matches(enc, model)",
+    "occurrence_totals": _with(_EV, _EM) + "SELECT tid, api, model, CAST(len(regexp_extract_all(enc, model)) AS BIGINT) AS n, length(regexp_extract(enc, '^(.*?)(' || model || ')', 1)) AS first, CAST(length(array_to_string(regexp_extract_all(enc, model), '')) AS BIGINT) AS covered FROM en JOIN em ON regexp_matches(enc, model)",
     "overlapping_traces": _with(_OR, "q AS (SELECT od.api, od.ok, string_agg(flag, '|' ORDER BY i) AS seq FROM od JOIN ln ON ln.ok = od.ok GROUP BY od.api, od.ok)") + "SELECT a.api, b.api AS other, count(*) AS n FROM (SELECT DISTINCT api, seq FROM q) a JOIN q b ON a.seq = b.seq AND a.api <> b.api GROUP BY a.api, b.api",
     "model_properties": _with(_EM) + "SELECT api, model, regexp_extract(model, '[^()]') AS first_sym, CASE WHEN contains(model, '+') THEN 0 ELSE length(regexp_replace(model, '[()?*|]', '', 'g')) END AS max_len, true AS leaf FROM em",
     "matchable_ngrams": _AMB + "SELECT ngram, api FROM lb",
-    "prefix_match_counts": _with(_EV, _EM, "pr AS (SELECT tid, k, substr(enc, 1, k) AS enc FROM en, (SELECT unnest(range(1, 21)) AS k) WHERE length(enc) >= k)") + "SELECT k, count_if(regexp_full_match(enc, model)) AS n_full, count_if(regexp_matches(enc, model)) AS n_search, CAST(sum(len(regexp_extract_all(enc, model))) AS BIGINT) AS n_all FROM pr, em GROUP BY k",
+    "prefix_match_counts": _with(_EV, _EM, "pr AS (SELECT tid, k, substr(enc, 1, k) AS enc FROM en, (SELECT unnest(range(1, 101)) AS k) WHERE length(enc) >= k)") + "SELECT k, count_if(regexp_full_match(enc, model)) AS n_full, count_if(regexp_matches(enc, model)) AS n_search, CAST(sum(len(regexp_extract_all(enc, model))) AS BIGINT) AS n_all FROM pr, em GROUP BY k",
     "maximal_munch": _with(_EV, _EM, _MUNCH, recursive=True) + "SELECT tid, s, e, string_agg(api, ',' ORDER BY api) AS apis FROM ml GROUP BY tid, s, e",
     "hit_miss": _with(_EV, _EM, _MUNCH, _TRUE, """j AS (SELECT ts.tid, mu.s IS NOT NULL AS found, ml.api IS NOT NULL AS hit, ts.api IN (SELECT api FROM em) AS leaf FROM ts LEFT JOIN mu USING (tid, s, e) LEFT JOIN ml USING (tid, s, e, api))""", recursive=True) + "SELECT tid, count_if(hit) AS hits, count_if(NOT hit) AS misses, count_if(hit) AS good, count_if(found AND NOT hit AND leaf) AS bad, count_if(NOT found AND leaf) AS not_found, count_if(NOT hit AND NOT leaf) AS not_bad FROM j GROUP BY tid",
     "span_coverage": _with(_EV, _EM, _MUNCH, _TRUE, "c AS (SELECT tid, sum(e - s) AS covered FROM ts SEMI JOIN ml USING (tid, s, e, api) GROUP BY tid)", recursive=True) + "SELECT ts.tid, CAST(coalesce(any_value(covered), 0) AS BIGINT) AS covered, CAST(sum(e - s) AS BIGINT) AS total, round(coalesce(any_value(covered), 0) / sum(e - s), 6) AS ratio FROM ts LEFT JOIN c USING (tid) GROUP BY ts.tid",

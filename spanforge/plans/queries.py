@@ -62,8 +62,9 @@ def _models(spark: SparkSession, given: list[tuple[str, str]], syms: DataFrame)
 
 def _with_firsts(models: DataFrame) -> DataFrame:
     """A row for each symbol that a model can begin with: a choice has several."""
-    symbols_at_start = F.when(F.col("model").startswith("("), F.array_distinct(F.transform(F.split(F.regexp_extract("model", r"^\(([^)]*)\)", 1), r"\|"), lambda x: F.substring(x, 1, 1)))).otherwise(F.array("first_sym"))
-    return models.withColumn("first_sym", F.explode(symbols_at_start))
+    rows = [(r["model"], sorted(P.first_symbols(r["model"]))) for r in models.select("model").distinct().collect()]  # a dimension
+    firsts = models.sparkSession.createDataFrame(rows, "model string, firsts array<string>")
+    return models.join(F.broadcast(firsts), "model").select(*[F.explode("firsts").alias(c) if c == "first_sym" else c for c in models.columns])
 
 
 def _event_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,6 +471,76 @@ def ambiguity_fullcdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.fullcdf(_ambiguity(spark, sf_dir), loose).select(F.col("n").cast("long").alias("n"), "k", "cum", F.round("scaled", 6).alias("scaled"))
 
 
+def noise_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaning with the known fault: each thread's first row is there twice."""
+    return clean.remove_noise(A.trace_events(spark, sf_dir), ("error",), compat_dup_head=True).select("tid", "pos", "name")
+
+
+def java_lines_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.drop_java(A.raw_log(spark, sf_dir)).select("value")
+
+
+def signal_lines_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kb = A.kb_orders(spark, sf_dir).withColumn("calls", F.transform("calls", lambda c: F.struct(c["kind"].alias("kind"), F.when(c["name"] == "NF", "--- SIGSEGV {} ---").otherwise(c["name"]).alias("name"))))
+    return _kb_out(clean.drop_signals(kb))
+
+
+def events_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.drop_calls(A.trace_brackets(spark, sf_dir)).groupBy("tid").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+
+
+def modelless_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts and ends of the APIs of two models, and all events."""
+    known = spark.sql("SELECT * FROM VALUES ('pkg.Order.1URGENT()'), ('pkg.Order.5LOW()'), (NULL) AS v(api)")
+    left = clean.drop_modelless(A.trace_brackets(spark, sf_dir), known)
+    return left.groupBy("tid").agg(F.count_if(F.col("kind") == "API").alias("n_calls"), F.count_if(F.col("kind") == "SYS").alias("n_events"))
+
+
+def api_call_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn.call_names(A.kb_orders(spark, sf_dir))
+
+
+def sharing_apis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn.sharing(_order_models(spark, sf_dir), "pkg.Order.1URGENT()")
+
+
+def model_owner_apis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = _order_models(spark, sf_dir)
+    text = _models(spark, [("", "NO")], _order_symbols(spark, sf_dir)).first()["model"]
+    return learn.model_owners(models, text)
+
+
+def models_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learn.numbered(_order_models(spark, sf_dir)).select("api", "model", F.col("model_id").cast("long").alias("model_id"))
+
+
+def model_eval_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation with a bound of time for each match, and which APIs are expensive."""
+    stats = learn.evaluate_timed(_encoded_orders(spark, sf_dir), _order_models(spark, sf_dir))
+    dear = learn.expensive(stats).select("api", F.lit(True).alias("expensive"))
+    return stats.join(dear, "api", "left").select("api", "successes", "fails", "timeouts", F.coalesce("expensive", F.lit(False)).alias("expensive"))
+
+
+def full_match_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Realizations of orders that a model of any API matches whole."""
+    enc = _encoded_orders(spark, sf_dir).select(F.col("rid").alias("tid"), "enc")
+    return match.full_matches(enc, _with_firsts(_order_models(spark, sf_dir))).distinct()
+
+
+def first_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.searches(_encoded_events(spark, sf_dir), _with_firsts(_event_models(spark, sf_dir))).distinct()
+
+
+def all_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.occurrences(_encoded_events(spark, sf_dir), _with_firsts(_event_models(spark, sf_dir))).distinct()
+
+
+def occurrence_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all occurrences, summed up by thread and model."""
+    spans = match.occurrence_spans(_encoded_events(spark, sf_dir), _with_firsts(_event_models(spark, sf_dir))).distinct()
+    return spans.groupBy("tid", "api", "model").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("first"), F.sum(F.col("e") - F.col("s")).cast("long").alias("covered"))
+
+
 def permission_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apps (customers) whose comma-joined permissions, with their prefix where it is missing, have a dangerous one."""
     c = A.table(spark, sf_dir, "customer")
@@ -486,5 +557,6 @@ innermost_listed kb_exclusive kb_inclusive kb_unwind syscall_to_apis api_flags r
 implicit_models invariant_violations model_cycles models_generic models_less_generic model_stats model_eval corpus_success model_counts
 local_rare global_rare same_model_pairs overlapping_traces model_properties align_learn align_pair matchable_ngrams prefix_match_counts
 maximal_munch hit_miss span_coverage match_length corpus_averages coverage_steps trace_ambiguity ngram_ambiguity ambiguity_scope ambiguity_hist
-ambiguity_cdf ambiguity_fullcdf permission_filter""".split()
+ambiguity_cdf ambiguity_fullcdf permission_filter noise_removed java_lines_dropped signal_lines_dropped events_only modelless_dropped
+api_call_names sharing_apis model_owner_apis models_numbered model_eval_timed full_match_threads first_occurrences all_occurrences occurrence_totals""".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES}

@@ -211,7 +211,7 @@ def test_munch_and_scores(spark):
     got = match.munch(enc, m)
     want = [(1, 0, 3, ["X", "Z"]), (1, 3, 4, ["Y"])]
     assert sorted(tuple(r) for r in got.select("tid", "s", "e", "apis").collect()) == want
-    assert sorted(tuple(r) for r in match.munch_long(enc, [tuple(r) for r in m.collect()]).collect()) == want
+    assert sorted(tuple(r) for r in match.chain(match.best(match.candidates(enc, m))).collect()) == want
     spans = spark.createDataFrame([(1, 0, 3, "X"), (1, 3, 4, "W"), (1, 4, 5, "Y")], "tid long, s long, e long, api string")
     assert tuple(score.hit_miss(spans, got).first()) == (1, 1, 2)
     assert score.span_coverage(spans, got).first()["ratio"] == pytest.approx(0.6)
@@ -222,11 +222,27 @@ def test_munch_and_scores(spark):
 
 def test_munch_equals_a_scan(spark):
     rng = random.Random(8)
-    models = [("A", "ab+"), ("B", "(ab)+"), ("C", "b"), ("D", "ca"), ("E", "c+a")]
+    models = [("A", "ab+"), ("B", "(ab)+"), ("C", "b"), ("D", "ca"), ("E", "c+a"), ("F", "(a|ab)c?"), ("G", "(b|bc|bca)")]
     texts = [(i, "".join(rng.choice("abc") for _ in range(rng.randint(0, 40)))) for i in range(60)]
     got = match.munch(spark.createDataFrame(texts, "tid long, enc string"), _models(spark, *models))
     want = [(t, s, e, apis) for t, x in texts for s, e, apis in match.munch_one(x, [(a, m, P.first_symbol(P.parse(m))) for a, m in models])]
     assert sorted(tuple(r) for r in got.select("tid", "s", "e", "apis").collect()) == sorted(want)
+    joined = match.chain(match.best(match.candidates(spark.createDataFrame(texts, "tid long, enc string"), _models(spark, *models))))
+    assert sorted(tuple(r) for r in joined.collect()) == sorted(want)
+
+
+def test_matches_that_take_too_long_count_as_none(spark):
+    enc = spark.createDataFrame([("X", "a" * 60 + "b"), ("X", "aa")], "api string, enc string")
+    stats = learn.evaluate_timed(enc, _models(spark, ("X", "(a|aa)+")), timeout=0.2)
+    assert tuple(stats.first()) == ("X", 1, 0, 1) and learn.expensive(stats).first()["ratio"] == 0.5
+
+
+def test_self_overlapping_ngrams_are_counted_from_the_left(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 30))) for _ in range(50)]
+    grams = ["a", "aa", "aba", "ab", "abab", "bba", "zz"]
+    got = score.ngram_counts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "tid long, enc string"), spark.createDataFrame([(g,) for g in grams], "ngram string"))
+    assert {r["ngram"]: r["freq"] for r in got.collect()} == {g: sum(t.count(g) for t in texts) for g in grams if any(g in t for t in texts)}
 
 
 def test_full_distribution(spark):
