@@ -33,14 +33,25 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
+class _Words:
+    """Whether a text has one of some words in any case: quicker than a pattern that ignores case."""
+
+    def __init__(self, *words: str) -> None:
+        self.words = words
+
+    def search(self, text: str) -> bool:
+        folded = text.casefold()
+        return any(w in folded for w in self.words)
+
+
 #: Candidates beyond the base patterns. Texts without a match of the second pattern, which is cheaper, have none of the third.
-_LOOSE: list[tuple[str, re.Pattern[str] | None, re.Pattern[str]]] = [
-    ("email", re.compile(r"[(\[\x20]at[)\]\x20]", re.I), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]+(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{2,})+", re.I)),
+_LOOSE: list[tuple[str, re.Pattern[str] | _Words | None, re.Pattern[str]]] = [
+    ("email", re.compile(r"[(\[\x20]at[)\]\x20]", re.I), re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{2,})+", re.I)),
     ("phone", _DIGIT, re.compile(r"(?<![\w+.-])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![\w-])")),
     ("card", _DIGIT, re.compile(r"(?<![\w.-])(?:(?:[0-9]{4}[\x20-]){3}[0-9]{4}|[0-9]{13,19})(?![\w-])")),
     ("ip", _DIGIT, re.compile(r"(?<![\w.])[0-9]{1,4}(?:\.[0-9]{1,4}){3}(?![\w.])")),
     ("ssn", _DIGIT, re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
-    ("secret", None, re.compile(r"(?:password|passwd|token|secret|api[_-]?key)\x20?[=:]\x20?\x22?([A-Za-z0-9_/+-]{12,})\x22?", re.I)),
+    ("secret", _Words("passw", "token", "secret", "api"), re.compile(r"(?:password|passwd|token|secret|api[_-]?key)\x20?[=:]\x20?\x22?([A-Za-z0-9_/+-]{12,})\x22?", re.I)),
     ("name", None, re.compile(r"(?:Mr|Mrs|Ms|Dr)\.\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?")),
 ]
 

@@ -139,3 +139,20 @@ LINES = "This is a long paragraph, with commas, and with text enough.\nAnd anoth
 )
 def test_html_keeps_whole_articles(page, text):
     assert html.main_text(page) == text
+
+
+def test_spans_have_no_longest_length():
+    key = "a1" * 5000
+    assert pii._loose_spans(f"token={key}", []) == [("secret", 0, 6 + len(key))]
+    assert pii._loose_spans(f"{'b' * 300} (at) {'c' * 300}" + " dot cc" * 9, [])[0][2] == 606 + 63
+    assert pii._loose_spans(f"Dr. A{'n' * 40} B{'o' * 40}", []) == [("name", 0, 4 + 41 + 1 + 41)]
+    many = "call 555-123-4567, " * 20_000
+    assert len(pii._loose_spans(many, [])) == 20_000
+
+
+def test_fractions_and_powers_are_no_letters(spark):
+    from spanforge.llm import langid
+
+    rows = [(i, t, "en") for i, t in enumerate(["½ ² ¼ 12", "١٢٣", "a", "é", "日"])] + [(100 + i, "some words of a text", "en") for i in range(9)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[0] == got[1] == "und" and got[2] == got[3] == got[4] == "en"
