@@ -34,7 +34,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", clean), ("jaccard", deduplicate), ("pii", mask), ("mixing", mix), ("packing", pack)]
-#: SQL has neither the tokenizer nor the fitted span classifier; tests hold run() against brute force.
+#: SQL has neither the tokenizer nor the fitted span classifier; tests try its stages one by one.
 ORACLE_SQL = None
 
 
