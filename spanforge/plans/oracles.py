@@ -141,7 +141,7 @@ t AS (SELECT api, count_if(ok) AS successes, count_if(NOT ok) AS fails, count_if
     "java_lines_dropped": "SELECT event_id || '.500000 SYSCALL ' || user_id || ' ' || event_type || '(' || event_id || ', 0) = 0' AS value FROM events WHERE event_type NOT IN ('purchase', 'signup')",
     "signal_lines_dropped": _with(_OR) + "SELECT od.api, od.ok AS rid, coalesce(string_agg('SYS:' || flag, '|' ORDER BY i) FILTER (flag <> 'NF'), '') AS seq FROM od LEFT JOIN ln ON ln.ok = od.ok GROUP BY od.api, od.ok",
     "events_only": _with(_OR) + "SELECT tid, CAST(sum(n) AS BIGINT) AS n, CAST(min(p) AS BIGINT) AS first FROM (SELECT *, 1 + dense_rank() OVER (PARTITION BY tid ORDER BY yr) * 2 - 2 + 2 * row_number() OVER (PARTITION BY tid ORDER BY yr, atp, ok) - 1 + sum(n) OVER (PARTITION BY tid ORDER BY yr, atp, ok) - n AS p FROM od) WHERE n > 0 GROUP BY tid",
-    "modelless_dropped": _with(_OR) + "SELECT tid, 2 * count_if(api IN ('pkg.Order.1URGENT()', 'pkg.Order.5LOW()')) AS n_calls, CAST(sum(n) AS BIGINT) AS n_events FROM od GROUP BY tid HAVING sum(n) > 0 OR count_if(api IN ('pkg.Order.1URGENT()', 'pkg.Order.5LOW()')) > 0",
+    "modelless_dropped": _with(_OR) + "SELECT tid, CAST(2 * count_if(api IN ('pkg.Order.1URGENT()', 'pkg.Order.5LOW()')) AS BIGINT) AS n_calls, CAST(sum(n) AS BIGINT) AS n_events FROM od GROUP BY tid HAVING sum(n) > 0 OR count_if(api IN ('pkg.Order.1URGENT()', 'pkg.Order.5LOW()')) > 0",
     "api_call_names": _with(_OR) + "SELECT DISTINCT od.api, flag AS name FROM od JOIN ln USING (ok)",
     "sharing_apis": _with(_OM) + "SELECT DISTINCT api FROM om WHERE api <> 'pkg.Order.1URGENT()' AND model IN (SELECT model FROM om WHERE api = 'pkg.Order.1URGENT()')",
     "model_owner_apis": _with(_OM) + f"SELECT DISTINCT api FROM om WHERE model = chr({_FLAG_CODES['NO']})",
@@ -154,7 +154,7 @@ t AS (SELECT api, count_if(ok) AS successes, count_if(NOT ok) AS fails, count_if
     "overlapping_traces": _with(_OR, "q AS (SELECT od.api, od.ok, string_agg(flag, '|' ORDER BY i) AS seq FROM od JOIN ln ON ln.ok = od.ok GROUP BY od.api, od.ok)") + "SELECT a.api, b.api AS other, count(*) AS n FROM (SELECT DISTINCT api, seq FROM q) a JOIN q b ON a.seq = b.seq AND a.api <> b.api GROUP BY a.api, b.api",
     "model_properties": _with(_EM) + "SELECT api, model, regexp_extract(model, '[^()]') AS first_sym, CASE WHEN contains(model, '+') THEN 0 ELSE length(regexp_replace(model, '[()?*|]', '', 'g')) END AS max_len, true AS leaf FROM em",
     "matchable_ngrams": _AMB + "SELECT ngram, api FROM lb",
-    "prefix_match_counts": _with(_EV, _EM, "pr AS (SELECT tid, k, substr(enc, 1, k) AS enc FROM en, (SELECT unnest(range(1, 101)) AS k) WHERE length(enc) >= k)") + "SELECT k, count_if(regexp_full_match(enc, model)) AS n_full, count_if(regexp_matches(enc, model)) AS n_search, CAST(sum(len(regexp_extract_all(enc, model))) AS BIGINT) AS n_all FROM pr, em GROUP BY k",
+    "prefix_match_counts": _with(_EV, _EM, "pr AS (SELECT tid, k, substr(enc, 1, k) AS enc FROM en, (SELECT unnest(range(1, 101)) AS k) WHERE length(enc) >= k)") + "SELECT k, CAST(count_if(regexp_full_match(enc, model)) AS BIGINT) AS n_full, CAST(count_if(regexp_matches(enc, model)) AS BIGINT) AS n_search, CAST(sum(len(regexp_extract_all(enc, model))) AS BIGINT) AS n_all FROM pr, em GROUP BY k",
     "maximal_munch": _with(_EV, _EM, _MUNCH, recursive=True) + "SELECT tid, s, e, string_agg(api, ',' ORDER BY api) AS apis FROM ml GROUP BY tid, s, e",
     "hit_miss": _with(_EV, _EM, _MUNCH, _TRUE, """j AS (SELECT ts.tid, mu.s IS NOT NULL AS found, ml.api IS NOT NULL AS hit, ts.api IN (SELECT api FROM em) AS leaf FROM ts LEFT JOIN mu USING (tid, s, e) LEFT JOIN ml USING (tid, s, e, api))""", recursive=True) + "SELECT tid, count_if(hit) AS hits, count_if(NOT hit) AS misses, count_if(hit) AS good, count_if(found AND NOT hit AND leaf) AS bad, count_if(NOT found AND leaf) AS not_found, count_if(NOT hit AND NOT leaf) AS not_bad FROM j GROUP BY tid",
     "span_coverage": _with(_EV, _EM, _MUNCH, _TRUE, "c AS (SELECT tid, sum(e - s) AS covered FROM ts SEMI JOIN ml USING (tid, s, e, api) GROUP BY tid)", recursive=True) + "SELECT ts.tid, CAST(coalesce(any_value(covered), 0) AS BIGINT) AS covered, CAST(sum(e - s) AS BIGINT) AS total, round(coalesce(any_value(covered), 0) / sum(e - s), 6) AS ratio FROM ts LEFT JOIN c USING (tid) GROUP BY ts.tid",
