@@ -72,6 +72,73 @@ def _with(*parts: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n"
 
 
+_BRACKETS = """yb AS (SELECT DISTINCT tid, yr FROM od),
+br AS (SELECT tid, row_number() OVER (PARTITION BY tid ORDER BY yr, part, atp, ok, phase, i) - 1 AS pos, state, name FROM (
+  SELECT tid, yr, 0 AS part, NULL AS atp, 0 AS ok, 0 AS phase, 0 AS i, 'S' AS state, 'pkg.Year.y' || yr || '()' AS name FROM yb
+  UNION ALL SELECT tid, yr, 2, NULL, 0, 0, 0, 'E', 'pkg.Year.y' || yr || '()' FROM yb
+  UNION ALL SELECT tid, yr, 1, atp, ok, 1, 0, 'S', api FROM od UNION ALL SELECT tid, yr, 1, atp, ok, 3, 0, 'E', api FROM od
+  UNION ALL SELECT tid, yr, 1, atp, ok, 2, i, NULL, flag FROM od JOIN ln USING (ok)))"""
+
+
+def _fold(source: str, p: str) -> str:
+    """CTEs that fold the strings (x) of source once, into {p}w (x, folded)."""
+    at = lambda pos, size: f"substr(x, CAST({pos} AS INT), CAST({size} AS INT))"
+    return f"""{p}r AS (SELECT x, s, min(k) AS k FROM (SELECT x, unnest(range(1, length(x))) AS s FROM {source}), (SELECT unnest(range(1, (SELECT max(length(x)) // 2 + 1 FROM {source}))) AS k)
+  WHERE s + 2 * k <= length(x) + 1 AND {at('s', 'k')} = {at('s + k', 'k')} GROUP BY x, s),
+{p}c AS (SELECT x, s, k, {at('s', 'k')} AS unit, list_max(list_filter(range(2, (length(x) + 1 - s) // k + 1), lambda c: {at('s', 'k * c')} = repeat({at('s', 'k')}, c))) AS c FROM {p}r),
+{p}s AS (SELECT x, 1::BIGINT AS atp, '' AS folded FROM {source}
+  UNION ALL SELECT w.x, atp + coalesce(k * c, 1), folded || CASE WHEN k IS NULL THEN substr(w.x, CAST(atp AS INT), 1) WHEN k = 1 THEN unit || '+' ELSE '(' || unit || ')+' END FROM {p}s w LEFT JOIN {p}c c ON c.x = w.x AND c.s = w.atp WHERE atp <= length(w.x)),
+{p}w AS (SELECT x, folded FROM {p}s WHERE atp > length(x))"""
+
+
+def _passes(n: int) -> str:
+    """CTEs that fold the strings of oe in at most n passes, into fd (enc, pattern): a pass counts if its text is a pattern that matches."""
+    parts = ["p0 AS (SELECT DISTINCT enc, enc AS x, enc AS pattern FROM oe WHERE enc <> '')"]
+    for i in range(n):
+        parts += [f"i{i} AS (SELECT DISTINCT x FROM p{i} WHERE x IS NOT NULL)", _fold(f"i{i}", f"f{i}")]
+        text = "folded" if i == 0 else "regexp_replace(folded, '^[(](.*)[)]$', '\\1')"
+        parts.append(f"t{i} AS (SELECT p{i}.*, {text} AS text, folded <> p{i}.x AND coalesce(TRY(regexp_full_match(enc, folded)), false) AS good, folded = p{i}.x AS same FROM p{i} LEFT JOIN f{i}w w ON w.x = p{i}.x)")
+        lost = "CASE WHEN same THEN pattern END" if i == 0 else "pattern"
+        parts.append(f"p{i + 1} AS (SELECT enc, CASE WHEN good THEN '(' || text || ')' END AS x, CASE WHEN good THEN text ELSE {lost} END AS pattern FROM t{i})")
+    return ",\n".join(parts) + f",\nfd AS (SELECT enc, pattern FROM p{n})"
+
+
+#: Learners as a walk over the realizations that differ, in the order of their first; k models at most.
+_LEARN = """sq AS (SELECT api, rid, enc, pattern, row_number() OVER (PARTITION BY api ORDER BY rid) AS i, least({cap}, ceil(count(*) OVER (PARTITION BY api) / 2)) AS cap FROM oe JOIN fd USING (enc)),
+fo AS (SELECT api, enc, any_value(pattern) AS pattern, any_value(cap) AS cap, min(i) AS i, row_number() OVER (PARTITION BY api ORDER BY min(i)) AS k FROM sq GROUP BY api, enc),
+le AS (SELECT DISTINCT api, 0::BIGINT AS k, 0::BIGINT AS i, 0::BIGINT AS train, CAST([] AS STRUCT(model VARCHAR, generalized BOOLEAN, original VARCHAR, fold VARCHAR)[]) AS ms FROM fo
+  UNION ALL SELECT api, k, i, CASE WHEN adds THEN train + 1 ELSE train END, CASE WHEN adds THEN {add} ELSE ms END
+  FROM (SELECT fo.api, fo.k, fo.i, enc, pattern, train, ms, len(list_filter(ms, lambda x: regexp_full_match(enc, x.model))) = 0 AND {new} AS adds FROM le JOIN fo ON fo.api = le.api AND fo.k = le.k + 1 WHERE train < cap)),
+ld AS (SELECT api, arg_max(ms, k) AS ms, max(train) AS train, arg_max(i, k) AS last FROM le GROUP BY api),
+mo AS (SELECT api, unnest(ms, recursive := true) FROM ld)"""
+_GENERIC = _LEARN.format(cap=50, new="pattern IS NOT NULL", add="list_append(ms, {'model': pattern, 'generalized': true, 'original': enc, 'fold': pattern})")
+_LESS = _LEARN.format(
+    cap=100,
+    new="NOT coalesce(list_bool_or(list_transform(ms, lambda x: coalesce(x.generalized AND x.model = pattern, false))), false)",
+    add="""CASE WHEN coalesce(list_bool_or(list_transform(ms, lambda x: coalesce(NOT x.generalized AND x.fold = pattern, false))), false)
+    THEN list_append(list_filter(ms, lambda x: x.generalized OR x.fold IS NULL OR x.fold <> pattern), {'model': pattern, 'generalized': pattern <> enc, 'original': enc, 'fold': pattern})
+    ELSE list_append(ms, {'model': enc, 'generalized': false, 'original': enc, 'fold': pattern}) END""",
+)
+_MODEL_ROWS = "SELECT api, model, generalized, original, regexp_extract(model, '[^()+]') AS first_sym, CAST(CASE WHEN contains(model, '+') THEN 0 ELSE length(model) END AS INT) AS max_len FROM mo"
+#: Alignment as a walk over cells: a row of scores a step, then a place of the way back a step.
+_ALIGN = """sq AS (SELECT api, enc, row_number() OVER (PARTITION BY api ORDER BY rid) AS k, count(*) OVER (PARTITION BY api) AS n FROM oe WHERE enc <> ''),
+ta AS (SELECT *, CASE WHEN n <= 10 THEN n ELSE least(50, n // 2) END AS cap FROM sq),
+al AS (SELECT a.api, 2::BIGINT AS k, a.cap, false AS back, 0::BIGINT AS i, 0::BIGINT AS j, list_transform(range(1, length(a.enc) + 1), lambda c: {'s': substr(a.enc, CAST(c AS INT), 1), 'o': false}) AS pat,
+    CAST([] AS STRUCT(s VARCHAR, o BOOLEAN)[]) AS made, CAST([] AS BIGINT[][]) AS rws FROM ta a WHERE a.k = 1
+  UNION ALL SELECT api, CASE WHEN over THEN k + 1 ELSE k END, cap, CASE WHEN over THEN false ELSE back OR i = len(pat) AND NOT empty END,
+    CASE WHEN over OR empty THEN 0 WHEN NOT back THEN CASE WHEN i = len(pat) THEN i ELSE i + 1 END WHEN how < 2 THEN i - 1 ELSE i END,
+    CASE WHEN over THEN 0 WHEN NOT back THEN length(y) WHEN how = 1 THEN j ELSE j - 1 END,
+    CASE WHEN over THEN made ELSE pat END,
+    CASE WHEN over OR NOT back THEN [] ELSE list_prepend(CASE how WHEN 0 THEN {'s': CASE WHEN contains(pat[i].s, c) THEN pat[i].s ELSE pat[i].s || c END, 'o': pat[i].o} WHEN 1 THEN {'s': pat[i].s, 'o': true} ELSE {'s': c, 'o': true} END, made) END,
+    CASE WHEN over THEN [] WHEN empty THEN [list_transform(range(0, length(y) + 1), lambda b: -b)] WHEN back OR i = len(pat) THEN rws
+      ELSE list_append(rws, list_transform(range(0, length(y) + 1), lambda b: list_max(list_transform(range(0, b + 1), lambda q: q - b + greatest(rws[i + 1][q + 1] - 1, CASE WHEN q = 0 THEN -i - 1 ELSE rws[i + 1][q] + CASE WHEN contains(pat[i + 1].s, substr(y, CAST(q AS INT), 1)) THEN 1 ELSE -1 END END))))) END
+  FROM (SELECT al.*, y, back AND i = 0 AND j = 0 AS over, len(rws) = 0 AS empty, substr(y, CAST(j AS INT), 1) AS c,
+    CASE WHEN i > 0 AND j > 0 AND rws[i + 1][j + 1] = rws[i][j] + CASE WHEN contains(pat[i].s, substr(y, CAST(j AS INT), 1)) THEN 1 ELSE -1 END THEN 0 WHEN i > 0 AND rws[i + 1][j + 1] = rws[i][j + 1] - 1 THEN 1 ELSE 2 END AS how
+    FROM al JOIN (SELECT api, k, enc AS y FROM ta) t USING (api, k) WHERE k <= cap)),
+ap AS (SELECT api, cap, array_to_string(list_transform(pat, lambda p: CASE WHEN length(p.s) = 1 THEN p.s ELSE '(' || array_to_string(list_sort(string_split(p.s, '')), '|') || ')' END || CASE WHEN p.o THEN '?' ELSE '' END), '') AS model FROM al WHERE k > cap)"""
+
+#: Whole runs over the bracketed orders: each customer's flags as one string, the order models, the calls that hold events.
+_WHOLE = (_OR, _FS, _OM, _SP, "em AS (SELECT * FROM om)", "en AS (SELECT tid, string_agg(sym, '' ORDER BY yr, atp, ok, i) AS enc FROM od JOIN ln USING (ok) JOIN fs ON fs.name = flag GROUP BY tid)", _MUNCH)
 _AMB = _with(_EV, _EM, _GRAMS)
 
 ORACLES: dict[str, str] = {
@@ -171,4 +238,44 @@ y AS (SELECT tid, coalesce(sum(e - s) FILTER (hit), 0) / sum(e - s) AS r FROM x
 un AS (SELECT n, 0::BIGINT AS k, count_if(g NOT IN (SELECT ngram FROM lb)) AS freq FROM po GROUP BY n),
 fu AS (SELECT n, k, sum(freq) AS freq FROM (SELECT n, n_apis AS k, freq FROM am UNION ALL SELECT n, k, freq FROM un) GROUP BY n, k)""") + "SELECT n, k, CAST(sum(freq) OVER (PARTITION BY n ORDER BY k) AS BIGINT) AS cum, round(100.0 * sum(freq) OVER (PARTITION BY n ORDER BY k) / sum(freq) OVER (PARTITION BY n), 6) AS scaled FROM fu",
     "permission_filter": "SELECT c_custkey AS app FROM customer WHERE c_mktsegment = 'MACHINERY' OR c_nationkey % 4 = 3",
+    "fold_patterns": _with(_EV, """ru AS (SELECT tid, s, min(k) AS k FROM (SELECT tid, enc, unnest(range(1, length(enc))) AS s FROM en), (SELECT unnest(range(1, (SELECT max(length(enc)) // 2 + 1 FROM en))) AS k)
+  WHERE s + 2 * k <= length(enc) + 1 AND substr(enc, CAST(s AS INT), CAST(k AS INT)) = substr(enc, CAST(s + k AS INT), CAST(k AS INT)) GROUP BY tid, s),
+rc AS (SELECT tid, s, k, substr(enc, CAST(s AS INT), CAST(k AS INT)) AS unit, list_max(list_filter(range(2, (length(enc) + 1 - s) // k + 1), lambda c: substr(enc, CAST(s AS INT), CAST(k * c AS INT)) = repeat(substr(enc, CAST(s AS INT), CAST(k AS INT)), c))) AS c FROM ru JOIN en USING (tid)),
+wa AS (SELECT tid, enc, 1::BIGINT AS atp, '' AS pattern, 0::BIGINT AS n_folds FROM en
+  UNION ALL SELECT wa.tid, enc, atp + coalesce(k * c, 1), pattern || CASE WHEN k IS NULL THEN substr(enc, CAST(atp AS INT), 1) WHEN k = 1 THEN unit || '+' ELSE '(' || unit || ')+' END, n_folds + CAST(k IS NOT NULL AS INT) FROM wa LEFT JOIN rc ON rc.tid = wa.tid AND rc.s = wa.atp WHERE atp <= length(enc))""", recursive=True) + "SELECT tid, length(enc) AS n, pattern, n_folds FROM wa WHERE atp > length(enc)",
+    "straighten_exact": """WITH l AS (SELECT user_id AS pid, event_id, event_type AS name, event_id % 3 AS what, lpad(CAST(user_id AS VARCHAR), 6, '0') || ' ' || lpad(CAST(event_id AS VARCHAR), 9, '0') || ' ' || event_type AS head FROM events),
+s AS (SELECT *, coalesce(sum(CAST(what = 1 AS INT)) OVER (PARTITION BY pid ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM l),
+f AS (SELECT *, min(event_id) FILTER (what = 0) OVER q AS cut, arg_min(head, event_id) FILTER (what = 0) OVER q AS pending FROM s WINDOW q AS (PARTITION BY pid, part))
+SELECT CAST(event_id AS DOUBLE) AS ts, head || '() = 0' AS value FROM f WHERE what = 2 AND (cut IS NULL OR cut > event_id)
+UNION ALL SELECT CAST(cut AS DOUBLE), pending || '(3,) = 1' FROM f WHERE what = 1 AND cut < event_id AND contains(pending || '(3,', name)""",
+    "kb_unwind": _with(_OR, _BRACKETS, """tr AS (SELECT tid, row_number() OVER (PARTITION BY tid ORDER BY pos) AS i, state, name FROM br WHERE NOT (coalesce(state, '') = 'E' AND (tid * 31 + pos) % 11 = 0)),
+st AS (SELECT DISTINCT tid, 0::BIGINT AS i, ['START'] AS apis, [''] AS seqs, CAST([] AS STRUCT(api VARCHAR, seq VARCHAR)[]) AS done FROM tr
+UNION ALL SELECT tid, i,
+  CASE WHEN state IS NULL THEN apis WHEN state = 'S' THEN list_append(CASE WHEN idle THEN list_append(apis[:n - 1], 'NOAPI') ELSE apis END, name) WHEN n = 1 OR stop <= 1 THEN ['NOAPI'] ELSE apis[:stop - 1] END,
+  CASE WHEN state IS NULL THEN list_append(seqs[:n - 1], concat_ws('|', nullif(seqs[n], ''), 'SYS:' || name))
+    WHEN state = 'S' THEN list_append(CASE WHEN idle THEN list_append(seqs[:n - 1], '') ELSE list_append(seqs[:n - 1], concat_ws('|', nullif(seqs[n], ''), 'API:' || name)) END, '')
+    WHEN n = 1 OR stop <= 1 THEN [''] ELSE seqs[:stop - 1] END,
+  CASE WHEN state = 'S' AND (apis[n] = 'START' OR idle AND seqs[n] <> '') THEN [{'api': apis[n], 'seq': seqs[n]}]
+    WHEN state = 'E' THEN list_transform(range(CASE WHEN apis[n] = name THEN n ELSE stop + 1 END, n + 1), lambda x: {'api': apis[x], 'seq': seqs[x]}) ELSE [] END
+FROM (SELECT tr.*, apis, seqs, len(apis) AS n, apis[len(apis)] IN ('START', 'NOAPI') AS idle,
+  CASE WHEN apis[len(apis)] = name THEN len(apis) ELSE coalesce(list_max(list_filter(range(1, len(apis)), lambda x: apis[x] = name)), 0) END AS stop
+  FROM st JOIN tr ON tr.tid = st.tid AND tr.i = st.i + 1)),
+ou AS (SELECT unnest(done, recursive := true) FROM st)""", recursive=True) + "SELECT api, seq, count(*) AS n FROM ou GROUP BY api, seq",
+    "align_pair": _with(_OR, _FS, """nx AS (SELECT api, rid, enc AS x, lead(enc) OVER (PARTITION BY api ORDER BY rid) AS y FROM oe),
+dp AS (SELECT DISTINCT x, y, 0 AS i, [list_transform(range(0, length(y) + 1), lambda j: -j)] AS rws FROM nx WHERE y IS NOT NULL
+  UNION ALL SELECT x, y, i + 1, list_append(rws, list_transform(range(0, length(y) + 1), lambda j: list_max(list_transform(range(0, j + 1), lambda k: k - j + greatest(rws[i + 1][k + 1] - 1, CASE WHEN k = 0 THEN -i - 1 ELSE rws[i + 1][k] + CASE WHEN substr(x, i + 1, 1) = substr(y, CAST(k AS INT), 1) THEN 1 ELSE -1 END END)))))
+  FROM dp WHERE i < length(x)),
+tb AS (SELECT x, y, rws, length(x) AS i, length(y) AS j, '' AS a, '' AS b FROM dp WHERE i = length(x)
+  UNION ALL SELECT x, y, rws, CASE WHEN how < 2 THEN i - 1 ELSE i END, CASE WHEN how = 1 THEN j ELSE j - 1 END, CASE WHEN how < 2 THEN substr(x, i, 1) ELSE '-' END || a, CASE WHEN how = 1 THEN '-' ELSE substr(y, j, 1) END || b
+  FROM (SELECT *, CASE WHEN i > 0 AND j > 0 AND rws[i + 1][j + 1] = rws[i][j] + CASE WHEN substr(x, i, 1) = substr(y, j, 1) THEN 1 ELSE -1 END THEN 0 WHEN i > 0 AND rws[i + 1][j + 1] = rws[i][j + 1] - 1 THEN 1 ELSE 2 END AS how FROM tb WHERE i > 0 OR j > 0))""", recursive=True) + "SELECT api, rid, a, b FROM nx JOIN tb USING (x, y) WHERE i = 0 AND j = 0",
+    "fold_multi_pass": _with(_OR, _FS, _passes(4), recursive=True) + "SELECT DISTINCT oe.enc, pattern FROM oe LEFT JOIN fd USING (enc)",
+    "models_generic": _with(_OR, _FS, _passes(4), _GENERIC, recursive=True) + _MODEL_ROWS,
+    "models_less_generic": _with(_OR, _FS, _passes(4), _LESS, recursive=True) + _MODEL_ROWS,
+    "model_stats": _with(_OR, _FS, _passes(4), _LESS, """z AS (SELECT sq.api, train, cap, sq.i > last AND train >= cap AS tested, len(list_filter(ms, lambda x: regexp_full_match(enc, x.model))) > 0 AS ok FROM sq JOIN ld USING (api)),
+e AS (SELECT api, bool_or(enc = '') AS empty_allowed FROM oe GROUP BY api)""", recursive=True) + """SELECT api, empty_allowed, CAST(any_value(train) AS INT) AS n_train, CAST(count_if(NOT tested) - any_value(train) AS INT) AS n_redundant, CAST(count_if(tested) AS INT) AS n_test,
+CAST(count_if(NOT tested) - any_value(train) + count_if(tested AND ok) AS INT) AS successes, CAST(count_if(tested AND NOT ok) AS INT) AS fails FROM z JOIN e USING (api) GROUP BY api, empty_allowed""",
+    "align_learn": _with(_OR, _FS, _ALIGN, recursive=True) + "SELECT api, 'ok' AS status, model, CAST(count_if(k > ta.cap AND regexp_full_match(enc, model)) AS INT) AS successes, CAST(count_if(k > ta.cap AND NOT regexp_full_match(enc, model)) AS INT) AS fails FROM ap JOIN ta USING (api) GROUP BY api, model",
+    "whole_analysis": _with(*_WHOLE, """j AS (SELECT sp.*, ml.api IS NOT NULL AS hit FROM sp LEFT JOIN ml USING (tid, s, e, api) WHERE sp.s <> sp.e),
+h AS (SELECT tid, CAST(count_if(hit) AS BIGINT) AS hits, CAST(count_if(NOT hit) AS BIGINT) AS misses, coalesce(sum(e - s) FILTER (hit), 0) AS covered, sum(e - s) FILTER (part = 2) AS total FROM j GROUP BY tid)""", recursive=True) + "SELECT tid, hits, misses, CAST(covered AS BIGINT) AS covered, CAST(total AS BIGINT) AS total, round(covered / total, 6) AS ratio, mean FROM h LEFT JOIN (SELECT tid, round(avg(e - s), 6) AS mean FROM mu GROUP BY tid) USING (tid)",
+    "whole_ambiguity": _with(*_WHOLE, *[f"k{i} AS (SELECT tid, s, count(DISTINCT {e}) AS k FROM ml GROUP BY tid, s)" for i, e in enumerate(_ROLL.values())], recursive=True) + " UNION ALL ".join(f"SELECT tid, '{scope}' AS scope, round(sum(log10(k)), 6) AS log10 FROM k{i} GROUP BY tid" for i, scope in enumerate(_ROLL)),
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import scalars as S
 from spanforge.operators import asof, attribute, callgraph, clean, learn, match, pairing, score, symbols
 from spanforge.operators import patterns as P
+from spanforge.plans import pipelines
 from spanforge.sources import adapters as A
 from spanforge.sources import logs
 
@@ -541,6 +542,20 @@ def occurrence_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.groupBy("tid", "api", "model").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("first"), F.sum(F.col("e") - F.col("s")).cast("long").alias("covered"))
 
 
+def whole_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run over bracketed threads and the order models: hits, coverage and mean match of every thread."""
+    syms = _order_symbols(spark, sf_dir)
+    found = pipelines.analyse(A.trace_brackets(spark, sf_dir), _with_firsts(_order_models(spark, sf_dir)), syms)
+    rows = found["hits"].join(found["coverage"], "tid", "left").join(found["length"], "tid", "left")
+    return rows.select("tid", "hits", "misses", "covered", "total", F.round("ratio", 6).alias("ratio"), F.round("mean", 6).alias("mean"))
+
+
+def whole_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ambiguity of the same threads, from their first call on."""
+    found = pipelines.ambiguity_of(A.trace_brackets(spark, sf_dir), _with_firsts(_order_models(spark, sf_dir)), _order_symbols(spark, sf_dir))
+    return found.select("tid", "scope", F.round("log10", 6).alias("log10"))
+
+
 def permission_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apps (customers) whose comma-joined permissions, with their prefix where it is missing, have a dangerous one."""
     c = A.table(spark, sf_dir, "customer")
@@ -558,5 +573,6 @@ implicit_models invariant_violations model_cycles models_generic models_less_gen
 local_rare global_rare same_model_pairs overlapping_traces model_properties align_learn align_pair matchable_ngrams prefix_match_counts
 maximal_munch hit_miss span_coverage match_length corpus_averages coverage_steps trace_ambiguity ngram_ambiguity ambiguity_scope ambiguity_hist
 ambiguity_cdf ambiguity_fullcdf permission_filter noise_removed java_lines_dropped signal_lines_dropped events_only modelless_dropped
-api_call_names sharing_apis model_owner_apis models_numbered model_eval_timed full_match_threads first_occurrences all_occurrences occurrence_totals""".split()
+api_call_names sharing_apis model_owner_apis models_numbered model_eval_timed full_match_threads first_occurrences all_occurrences occurrence_totals
+whole_analysis whole_ambiguity""".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: globals()[n] for n in _NAMES}
