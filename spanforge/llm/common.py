@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of a word boundary: space and the controls 9 to 13.
@@ -57,6 +57,22 @@ def clear(spark: SparkSession) -> None:
     dropped(spark, *list(_PATHS))
 
 
+#: Parts that the rows of one key are dealt over.
+SALTS = 256
+
+
+def with_group(df: DataFrame, key: str, by: str, name: str, value: Column, merge: Callable[[str], Column]) -> DataFrame:
+    """df with `name`: value over the parts of each key, and merge over those. Rows whose key is null are left out.
+
+    A key's rows are dealt over SALTS parts by their column `by`, and only the parts' values meet by key, so that the
+    rows of a hot key lie in no single task.
+    """
+    dealt = df.withColumn("__salt", F.pmod(F.xxhash64(F.lit("salt"), by), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy(key, "__salt").agg(value.alias("__part"))
+    whole = parts.withColumn(name, merge("__part").over(Window.partitionBy(key))).drop("__part")
+    return dealt.join(whole, [key, "__salt"]).drop("__salt")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of value, which is evaluated once however often body names it."""
     return F.transform(F.array(value), body)[0]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import small_batches, written
+from spanforge.llm.common import small_batches, with_group, written
 from spanforge.llm.graph import components
 
 COORDS = 64  # embedded coordinates that paths sample
@@ -274,8 +274,7 @@ def _block_pairs(df: DataFrame, size: Column, block: int) -> DataFrame:
 
 def _multi(buckets: DataFrame) -> DataFrame:
     """Rows (bucket, node) of buckets that hold two sets or more, with the number m."""
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    return buckets.join(sizes, "bucket")
+    return with_group(buckets, "bucket", "node", "m", F.count(F.lit(1)), F.sum).where("m > 1")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ngram: int = 5, threshold: float = 0.8, recall: float = 0.9999, small: int = 64) -> DataFrame:
@@ -330,8 +329,7 @@ def _classes(rows: DataFrame, ngram: int = 5, threshold: float = 0.8, recall: fl
         found = found.unionByName(blocks.select("bucket", "p", "q", "node", "n", "sk").mapInPandas(_candidates(threshold, least, ["bucket", "p", "q"]), "a long, b long"))
     comp = components(found.distinct())
 
-    sizes = comp.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    members = comp.join(sizes, "label").join(cls.select("node", "rep", "copies"), "node")
+    members = with_group(comp, "label", "node", "m", F.count(F.lit(1)), F.sum).join(cls.select("node", "rep", "copies"), "node")
     members = _block_pairs(members.withColumnRenamed("label", "comp"), F.col("m"), SET_BLOCK)
     texts = rows.withColumnRenamed("node", "own").join(members.drop("m"), (F.col("own") == F.col("node")) & F.col("doc").cast("long").eqNullSafe(F.col("rep")))
     texts = texts.select("comp", "p", "q", "block", "node", "copies", "text").repartition("comp", "p", "q").sortWithinPartitions("comp", "p", "q")
@@ -339,8 +337,8 @@ def _classes(rows: DataFrame, ngram: int = 5, threshold: float = 0.8, recall: fl
     linked = checked.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     label = components(checked.where("node <> root").select("node", "root"))
     named = cls.select("node", "rep", "copies").join(linked, "node", "left").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    names = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-    return named.join(names, "label").select("node", "label", F.col("rep").alias("text_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
+    named = with_group(named, "label", "node", "class_id", F.min("rep"), F.min)
+    return named.select("node", "label", F.col("rep").alias("text_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
 
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
