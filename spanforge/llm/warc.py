@@ -13,10 +13,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import dropped, small_batches, written, written_at
+from spanforge.llm.common import SALTS, dropped, small_batches, written, written_at
 
 CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -37,8 +37,12 @@ def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     """pages with digest, bytes, and refers_to: the largest id of an equal payload of MIN_REVISIT bytes or more, where that is another's."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
     told = pages.withColumns({"__digest": F.sha1(payload.cast("binary")), "__bytes": F.octet_length(payload).cast("long")})
-    last = told.where(F.col("__bytes") >= MIN_REVISIT).groupBy("__digest").agg(F.max(id_col).alias("__last"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    joined = told.join(last, "__digest", "left")
+    # a payload that many pages share is dealt over parts, so that no task gets all its rows
+    told = told.withColumn("__salt", F.pmod(F.xxhash64(F.lit("salt"), id_col), F.lit(SALTS)).cast("int"))
+    parts = told.where(F.col("__bytes") >= MIN_REVISIT).groupBy("__digest", "__salt").agg(F.max(id_col).alias("__l"), F.count(F.lit(1)).alias("__k"))
+    whole = Window.partitionBy("__digest")
+    last = parts.select("__digest", "__salt", F.max("__l").over(whole).alias("__last"), F.sum("__k").over(whole).alias("__n")).where("__n > 1").drop("__n")
+    joined = told.join(last, ["__digest", "__salt"], "left").drop("__salt")
     other = F.col(id_col).isNull() | (F.col("__last") != F.col(id_col))
     return joined.withColumn("__refers", F.when(other, F.col("__last"))).drop("__last")
 
