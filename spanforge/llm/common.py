@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: White space of a word boundary: space and the controls 9 to 13.
 SPACE = " \t\n\x0b\x0c\r"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables that `written` has left in the shared folder.
 _PATHS: list[str] = []
 
@@ -36,9 +37,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as a table in the shared folder, and its path, for `dropped` when nothing reads it any more."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    """df as a table in the shared folder, and its path, for `dropped` when nothing reads it any more.
+
+    The write's shuffle files go as soon as it ends: else they stay until the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _PATHS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

@@ -5,7 +5,8 @@ probability of their Jaccard similarity. A run starts at a root and, at every no
 sets that share a node's path and the value at a sampled coordinate go to the same child bucket. Buckets of at most
 `small` sets are brute-forced, larger ones are split again, and what is still large at the last depth is brute-forced
 in blocks. Runs repeat until a pair at the threshold is found with the target recall. Brute force compares embeddings
-first; connected candidates then meet in groups where their exact shingle sets are compared, each pair once.
+first; connected candidates then meet in groups where their exact shingle sets are compared, each pair once. Only
+texts that may be candidates, by a bitmap of their hashes, are sent to those groups.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import small_batches, with_group, written
+from spanforge.llm.common import dropped, small_batches, with_group, written, written_at
 from spanforge.llm.graph import components
 
 COORDS = 64  # embedded coordinates that paths sample
@@ -27,7 +28,9 @@ SKETCH = 128  # coordinates compared in brute force, a byte each
 FANOUT = 2  # coordinates sampled at a node
 DEPTH = 3  # levels of splitting at most
 MARK_BLOCK = 1024  # sets in a block of brute force over embeddings
-SET_BLOCK = 256  # sets in a block of brute force over exact sets
+SET_BLOCK = 2**20  # shingles in a block of brute force over exact sets; a set counts as LEAST to MOST, so a block has 256 to 2048 sets
+LEAST, MOST = 512, 4096
+SIEVE_BITS = 2**28  # of the bitmap of candidates, at most: 32 MB
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
@@ -151,25 +154,29 @@ def _embed(n: int):
     return run
 
 
-def _roots(labels: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """Least index of each row's component under the symmetric boolean matrix near."""
+def _joined(near: np.ndarray, rows: np.ndarray, cols: np.ndarray, m: int) -> np.ndarray:
+    """Least index of each of m rows' component, where near[i, j] links rows[i] to cols[j]."""
+    labels = np.arange(m, dtype=np.int32)
     while True:
-        new = np.minimum(labels, np.where(near, labels[None, :], len(labels)).min(1))
+        new = labels.copy()
+        for i in range(0, len(rows), 256):
+            part, at = near[i : i + 256], rows[i : i + 256]
+            new[at] = np.minimum(new[at], np.where(part, labels[cols][None, :], np.int32(m)).min(1))
+            new[cols] = np.minimum(new[cols], np.where(part, labels[at][:, None], np.int32(m)).min(0))
         new = new[new]
         if (new == labels).all():
             return labels
         labels = new
 
 
-def _agree(x: np.ndarray, size: np.ndarray, threshold: float, least: int) -> np.ndarray:
-    """Which pairs' embeddings and sizes allow the threshold."""
-    same = np.zeros((len(x), len(x)), np.int16)
+def _agree(x: np.ndarray, size: np.ndarray, rows: np.ndarray, cols: np.ndarray, threshold: float, least: int) -> np.ndarray:
+    """Which pairs of rows and cols have embeddings and sizes that allow the threshold."""
+    same = np.zeros((len(rows), len(cols)), np.uint8)  # SKETCH at most
+    left, right = (np.ascontiguousarray(x[at].T) for at in (rows, cols))
     for k in range(SKETCH):
-        same += x[:, None, k] == x[None, :, k]
-    low, high = np.minimum.outer(size, size), np.maximum.outer(size, size)
-    near = (same >= least) & (low >= threshold * high - 1e-9)
-    np.fill_diagonal(near, True)
-    return near
+        same += left[k][:, None] == right[k][None, :]
+    low, high = np.minimum.outer(size[rows], size[cols]), np.maximum.outer(size[rows], size[cols])
+    return (same >= least) & (low >= threshold * high - 1e-9)
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -207,7 +214,13 @@ def _candidates(threshold: float, least: int, keys: list[str]):
                     if min(s) >= threshold * max(s) - 1e-9 and (x[0] == x[1]).sum() >= least:
                         left.append(node[:1]), right.append(node[1:])
                 else:
-                    roots = _roots(np.arange(len(node)), _agree(x, group["n"].to_numpy()[at], threshold, least))
+                    rows = cols = np.arange(len(node))
+                    if "p" in keys:  # pairs inside a block are met where that block meets itself
+                        block = group["block"].to_numpy()[at]
+                        rows, cols = (np.flatnonzero(block == group[k].iloc[0]) for k in ("p", "q"))
+                    if not len(rows) or not len(cols):
+                        continue
+                    roots = _joined(_agree(x, group["n"].to_numpy()[at], rows, cols, threshold, least), rows, cols, len(node))
                     moved = roots != np.arange(len(node))
                     left.append(node[moved]), right.append(node[roots[moved]])
             if len(left) > 2000:
@@ -219,28 +232,58 @@ def _candidates(threshold: float, least: int, keys: list[str]):
     return run
 
 
-def exact_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs have the threshold, from exact set sizes."""
-    m = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    if m == 2:
-        shared = np.array([[size[0], 0], [0, size[1]]], np.float64)
-        shared[0, 1] = shared[1, 0] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-    else:
-        tokens, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(m), size)
-        order = np.argsort(inverse, kind="stable")
-        row, col = row[order], inverse[order]
-        shared, i = np.zeros((m, m), np.float64), 0
-        for base in range(0, len(tokens), 4096):
-            j = int(np.searchsorted(col, base + 4096))
-            block = np.zeros((m, min(4096, len(tokens) - base)), np.float32)
-            block[row[i:j], col[i:j] - base] = 1
-            shared += block @ block.T
-            i = j
-    union = size[:, None] + size[None, :] - shared
-    near = shared >= threshold * union - 1e-9
-    np.fill_diagonal(near, False)
+def _by_token(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sets' distinct tokens; where each one's rows begin and how many they are; the rows."""
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens, kind="stable")
+    distinct, at, count = np.unique(tokens[order], return_index=True, return_counts=True)
+    return distinct, at, count, np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+
+
+def _ranges(at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each k, count[k] numbers from at[k] on; and the k of each number."""
+    which = np.repeat(np.arange(len(at)), count)
+    return np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + at[which], which
+
+
+def shared_tokens(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of left shares with each of right: tokens of many pairs by matrices, those of few pair by pair."""
+    m, k = len(left), len(right)
+    out = np.zeros((m, k), np.int32)
+    x, y = (one := _by_token(left)), one if left is right else _by_token(right)
+    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    xat, xn, yat, yn = x[1][i], x[2][i], y[1][j], y[2][j]
+    pairs = xn * yn
+    many = np.flatnonzero(pairs > m * k / 256)
+    for at in range(0, len(many), 1024):
+        c = many[at : at + 1024]
+        blocks = []
+        for rows, start, count, size in ((x[3], xat[c], xn[c], m), (y[3], yat[c], yn[c], k)):
+            place, col = _ranges(start, count)
+            blocks.append(np.zeros((size, len(c)), np.float32))
+            blocks[-1][rows[place], col] = 1
+        out += (blocks[0] @ blocks[1].T).astype(np.int32)
+    few = np.flatnonzero(pairs <= m * k / 256)
+    ends, at = np.cumsum(pairs[few]), 0
+    while at < len(few):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4_000_000, "right")))
+        c = few[at:stop]
+        place, col = _ranges(np.zeros(len(c), np.int64), pairs[c])
+        rows = x[3][xat[c][col] + place // yn[c][col]] * k + y[3][yat[c][col] + place % yn[c][col]]
+        out += np.bincount(rows, minlength=m * k).reshape(m, k).astype(np.int32)
+        at = stop
+    return out
+
+
+def exact_links(left: list[np.ndarray], right: list[np.ndarray] | None = None, *, threshold: float) -> np.ndarray:
+    """Which pairs of a set of left and one of right have the threshold, from exact set sizes; of two of left where right is None."""
+    size, other = (np.array([len(x) for x in sets], np.int64) for sets in (left, left if right is None else right))
+    shared = shared_tokens(left, left if right is None else right)
+    near = np.empty(shared.shape, bool)
+    for i in range(0, len(left), 256):
+        near[i : i + 256] = shared[i : i + 256] >= threshold * (size[i : i + 256, None] + other - shared[i : i + 256]) - 1e-9
+    if right is None:
+        np.fill_diagonal(near, False)
     return near
 
 
@@ -250,17 +293,44 @@ def _verify(threshold: float, n: int):
             group = group.drop_duplicates("node").sort_values("node", ignore_index=True)
             node, copies, block = (group[c].to_numpy() for c in ("node", "copies", "block"))
             p, q = int(group["p"].iloc[0]), int(group["q"].iloc[0])
-            near = exact_links(shingles(pa.array(group["text"], pa.large_string()), n), threshold)
-            if p != q:  # pairs inside a block are met where that block meets itself
-                near &= block[:, None] != block[None, :]
-            roots = _roots(np.arange(len(node)), near | np.eye(len(node), dtype=bool))
-            yield pd.DataFrame({"node": node, "links": (near * copies[None, :]).sum(1).astype(np.int64), "texts": near.sum(1).astype(np.int64), "root": node[roots]})
+            sets = shingles(pa.array(group["text"], pa.large_string()), n)
+            rows, cols = np.flatnonzero(block == p), np.flatnonzero(block == q)
+            if not len(rows) or not len(cols):
+                continue
+            links, texts = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+            if p == q:
+                near = exact_links(sets, threshold=threshold)
+            else:  # pairs inside a block are met where that block meets itself
+                near = exact_links([sets[i] for i in rows], [sets[i] for i in cols], threshold=threshold)
+                links[cols], texts[cols] = copies[rows] @ near, near.sum(0)
+            links[rows], texts[rows] = near @ copies[cols], near.sum(1)
+            roots = _joined(near, rows, cols, len(node))
+            yield pd.DataFrame({"node": node, "links": links, "texts": texts, "root": node[roots]})
+
+    return run
+
+
+def _sieve(nodes: DataFrame):
+    """A filter of record batches that lets the rows of these nodes through, and few others: a bitmap of 16 bits a node."""
+    spark = nodes.sparkSession
+    bits = min(SIEVE_BITS, 1 << max(10, (16 * nodes.count()).bit_length()))
+    at = F.col("node").bitwiseAND(F.lit(bits - 1))
+    words = nodes.select(F.shiftright(at, 6).alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    words = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("set")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("set").to_numpy()
+    sent = spark.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("node").to_numpy() & (bits - 1)
+            yield batch.filter(pa.array((sent.value[at >> 6] >> (at & 63)) & 1 == 1))
 
     return run
 
 
 def _block_pairs(df: DataFrame, size: Column, block: int) -> DataFrame:
-    """Rows of a key, once for each pair of blocks that holds theirs; blocks by hash, `block` rows each on average."""
+    """Rows of a key, once for each pair of blocks that holds theirs; blocks by hash, `block` of the key's size each on average."""
     blocks = F.ceil(size / F.lit(block)).cast("int")
     return (
         df.withColumn("blocks", blocks)
@@ -306,7 +376,8 @@ def _classes(rows: DataFrame, ngram: int = 5, threshold: float = 0.8, recall: fl
     runs = runs_for(recall, threshold)
     start = [(r, (r * FANOUT + k) * 5 % COORDS) for r in range(runs) for k in range(FANOUT)]
     root = F.array(*[F.xxhash64(F.lit(r), F.lit(c), F.col("emb")[c]) for r, c in start])
-    level = written(_multi(cls.where("n > 0").select("node", F.explode(root).alias("bucket"))), "buckets")
+    level, path = written_at(_multi(cls.where("n > 0").select("node", F.explode(root).alias("bucket"))), "buckets")
+    used = [path]
     least = math.floor(SKETCH * threshold - 4.3 * math.sqrt(SKETCH * threshold * (1 - threshold)))
     done, hot = [level.where(F.col("m") <= small)], level.where(F.col("m") > small)
     for _ in range(DEPTH - 1):
@@ -314,7 +385,8 @@ def _classes(rows: DataFrame, ngram: int = 5, threshold: float = 0.8, recall: fl
             break
         picks = F.array(*[F.pmod(F.xxhash64("bucket", F.lit(k)), F.lit(COORDS // FANOUT)).cast("int") + k * (COORDS // FANOUT) for k in range(FANOUT)])
         child = hot.join(cls.select("node", "emb"), "node").select("node", "bucket", "emb", F.explode(picks).alias("c")).select("node", F.xxhash64("bucket", "c", F.col("emb")[F.col("c")]).alias("bucket"))
-        level = written(_multi(child), "buckets")
+        level, path = written_at(_multi(child), "buckets")
+        used.append(path)
         done.append(level.where(F.col("m") <= small))
         hot = level.where(F.col("m") > small)
     pairs = done[0]
@@ -324,14 +396,17 @@ def _classes(rows: DataFrame, ngram: int = 5, threshold: float = 0.8, recall: fl
     small_rows = pairs.select("bucket", "node").join(marks, "node").repartition("bucket").sortWithinPartitions("bucket")
     found = small_rows.select("bucket", "node", "n", "sk").mapInPandas(_candidates(threshold, least, ["bucket"]), "a long, b long")
     if not hot.isEmpty():
-        blocks = _block_pairs(hot, F.col("m"), MARK_BLOCK).select("bucket", "p", "q", "node").join(marks, "node")
+        blocks = _block_pairs(hot, F.col("m"), MARK_BLOCK).select("bucket", "p", "q", "block", "node").join(marks, "node")
         blocks = blocks.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-        found = found.unionByName(blocks.select("bucket", "p", "q", "node", "n", "sk").mapInPandas(_candidates(threshold, least, ["bucket", "p", "q"]), "a long, b long"))
+        found = found.unionByName(blocks.select("bucket", "p", "q", "block", "node", "n", "sk").mapInPandas(_candidates(threshold, least, ["bucket", "p", "q"]), "a long, b long"))
     comp = components(found.distinct())
+    dropped(rows.sparkSession, *used)
 
-    members = with_group(comp, "label", "node", "m", F.count(F.lit(1)), F.sum).join(cls.select("node", "rep", "copies"), "node")
-    members = _block_pairs(members.withColumnRenamed("label", "comp"), F.col("m"), SET_BLOCK)
-    texts = rows.withColumnRenamed("node", "own").join(members.drop("m"), (F.col("own") == F.col("node")) & F.col("doc").cast("long").eqNullSafe(F.col("rep")))
+    weight = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), "n")).cast("long")
+    members = with_group(comp.join(cls.select("node", "rep", "copies", "n"), "node"), "label", "node", "m", F.sum(weight), F.sum)
+    members = _block_pairs(members.withColumnRenamed("label", "comp"), F.col("m"), SET_BLOCK).drop("m", "n")
+    texts = rows.select(F.col("doc").cast("long").alias("doc"), "node", "text").mapInArrow(_sieve(comp.select("node")), "doc long, node long, text string")
+    texts = texts.withColumnRenamed("node", "own").join(members, (F.col("own") == F.col("node")) & F.col("doc").eqNullSafe(F.col("rep")))
     texts = texts.select("comp", "p", "q", "block", "node", "copies", "text").repartition("comp", "p", "q").sortWithinPartitions("comp", "p", "q")
     checked = written(texts.mapInPandas(_verify(threshold, ngram), "node long, links long, texts long, root long"), "checked")
     linked = checked.groupBy("node").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
