@@ -362,9 +362,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("doc", "node").join(_classes(rows, ngram, threshold, recall, small), "node").select(F.col("doc").alias("doc_id"), "text_id", "class_id", "n_links", "n_text_links")
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
-    return rows.select("doc", F.xxhash64("text", F.lit("text")).alias("node"), "text", *more)
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.select("doc", _node(F.col("text")).alias("node"), "text")
+
+
+def _node(text: Column) -> Column:
+    return F.xxhash64(text, F.lit("text"))
 
 
 def _classes(rows: DataFrame, ngram: int = 5, threshold: float = 0.8, recall: float = 0.9999, small: int = 64) -> DataFrame:
@@ -419,10 +423,23 @@ def _classes(rows: DataFrame, ngram: int = 5, threshold: float = 0.8, recall: fl
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each class of near duplicates: that of the least id, a null one last; columns as they are.
 
-    Rows that repeat an id are told apart by a key that they are written with.
+    Of rows that repeat both id and text, the one with the least other columns stays; where those have no order, any one.
     """
-    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    rows = _rows(keyed, id_col, text_col, "__row")
-    first = F.min(F.struct(F.col("doc").isNull().alias("without"), F.col("doc").cast("long").alias("doc"), "node", "__row"))
-    kept = rows.select("doc", "node", "__row").join(_classes(rows.drop("__row"), **options).select("node", "label"), "node").groupBy("label").agg(first.alias("first"))
-    return keyed.join(kept.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    rows = _rows(docs, id_col, text_col)
+    first = F.min(F.struct(F.col("doc").isNull().alias("without"), F.col("doc").cast("long").alias("long"), "node", "doc"))
+    chosen = rows.select("doc", "node").join(_classes(rows, **options).select("node", "label"), "node").groupBy("label").agg(first.alias("first"))
+    chosen = chosen.select(F.col("first.node").alias("__node"), F.col("first.doc").alias("__doc"))
+    keyed = docs.withColumns({"__node": _node(F.coalesce(F.col(text_col), F.lit(""))), "__key": F.col(id_col)})
+    same = (F.col("__at") == F.col("__node")) & F.col("__key").eqNullSafe(F.col("__doc"))
+    times = keyed.select(F.col("__node").alias("__at"), "__key").join(chosen, same).groupBy("__node", "__doc").agg(F.count(F.lit(1)).alias("__times"))
+    chosen = written(times, "chosen")
+    keyed = keyed.withColumnRenamed("__node", "__at")
+    kept = keyed.join(chosen.where("__times = 1"), same, "left_semi").select(*docs.columns)
+    repeated = chosen.where("__times > 1")
+    if repeated.isEmpty():
+        return kept
+    found = keyed.join(repeated, same, "left_semi")
+    ordered = not any(kind in dtype for _, dtype in docs.dtypes for kind in ("map<", "variant"))
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    found = found.groupBy("__at", "__key").agg((F.min(row) if ordered else F.first(row)).alias("__row"))
+    return kept.unionByName(found.select("__row.*"))

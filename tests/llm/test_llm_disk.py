@@ -77,3 +77,15 @@ def test_links_over_blocks_are_those_of_brute_force(spark, monkeypatch):
     links = [[i != j and len(x & y) >= 0.8 * len(x | y) - 1e-9 for j, y in enumerate(sets)] for i, x in enumerate(sets)]
     got = {r.doc_id: r.n_text_links for r in jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), small=4).collect()}
     assert got == {i: sum(row) for i, row in enumerate(links)} and 0 < sum(got.values()) < len(texts) * (len(texts) - 1)
+
+
+def test_one_per_class_writes_no_copy_of_the_table(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(_words(rnd, 50)), "a") for i in range(40)]
+    rows += [rows[0], (0, rows[0][1], "A"), (None, rows[1][1], "c"), (None, "alone in its class", "d"), (None, "alone in its class", "d")]
+    tables = []
+    monkeypatch.setattr(jaccard, "written", lambda df, name: tables.append(df.columns) or written(df, name))
+    got = jaccard.one_per_class(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    want = [(0, rows[0][1], "A"), *rows[1:40], (None, "alone in its class", "d")]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert tables and not any("text" in columns for columns in tables)
